@@ -5,15 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterloom.llm.common import table
+from meterloom.llm.embedding_dedup import near_vectors
+from meterloom.llm.imatch import fingerprints_with_next
 from meterloom.llm.ngram_jaccard import join_classes
+from meterloom.llm.poisson_mix import mix_sources
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_next(table(spark, sf_dir, "documents"))
+
+
+def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal weight for every source, at the corpus's own size."""
+    return mix_sources(table(spark, sf_dir, "documents"), weights=None, size=1.0)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_imatch": op3_imatch,
+    "op10_poisson_mix": op10_poisson_mix,
 }
 
 ORACLES: dict[str, str] = {}
