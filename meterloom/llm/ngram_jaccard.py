@@ -8,6 +8,9 @@ within its tolerance. An exact segment indexes its subset; a deletion segment in
 subset and the subset less any one shingle. How many segments of either kind a band has is
 chosen by cost (`allocate`) from the number of other sets that share a shingle, measured over
 all sets. A set is indexed in its own band and, when partners can be larger, in the next.
+A set uses its band's segments in order until they tolerate its own largest H. Subsets that
+could agree while empty count for nothing and aren't indexed, but for sets that then lack
+segments; those index empty subsets too, so that two such sets still meet.
 
 Equal sets are one node. Candidates of an index entry are first paired with one pivot of the
 entry; once verified links have joined nodes into components, only entries that still hold
@@ -35,7 +38,7 @@ from meterloom.llm.components import components
 
 GROWTH = 1.5
 SKETCH = 8  # words of 64 bits
-PAIR_COST, AGREE = 20.0, 0.5
+PAIR_COST, AGREE = 2.0, 0.2
 
 
 def bands(limit: int) -> list[int]:
@@ -54,10 +57,12 @@ def most_different(n, p: int, q: int):
 def allocate(size: int, units: int, shared: float) -> tuple[int, int]:
     """(deletion segments, exact segments) that tolerate units - 1 differences at least cost.
 
-    The cost counts index entries, and candidates at PAIR_COST each: `shared` sets hold a given
+    The cost counts index entries, and candidates at PAIR_COST each (a candidate
+    is one more row beside its entry's pivot): `shared` sets hold a given
     shingle, and each further shingle of a segment agrees with chance AGREE."""
     d = np.arange(units // 2 + 1)
     e = units - 2 * d
+    d, e = d + d // 8 + (d > 0), e + e // 8 + 2 * (e > 0)  # spare ones in place of segments that stay empty
     g = size / (d + e)
     chance = shared * AGREE ** np.maximum(g - 1, 0)
     loose = shared * np.maximum(g, 1) * AGREE ** np.maximum(g - 2, 0)
@@ -71,7 +76,7 @@ def schemes(limit: int, p: int, q: int, shared: float, force_deletions: bool = F
     ends, out = bands(limit), []
     for low, high in zip(ends, ends[1:]):
         units = most_different(high - 1, p, q) + 1
-        d, e = (units // 2, units % 2) if force_deletions else allocate((low + high) // 2, units, shared)
+        d, e = (units // 2 + units // 16 + 1, units % 2) if force_deletions else allocate((low + high) // 2, units, shared)
         out.append((low, d, e))
     return out
 
@@ -112,22 +117,24 @@ def signatures(sh: np.ndarray, doc: np.ndarray, n_docs: int, plan: list[tuple[in
             mine = of >= 0
             of, salt = of[mine], mix_int(int(b) + 77)
             h = mix(sh[mine] ^ U64(salt))
-            seg = (mix(h + U64(1)) % U64(d + e)).astype(np.int64)
-            used_d = np.minimum(d, (need[chosen] + 1) // 2)
-            used = used_d + np.maximum(0, need[chosen] - 2 * used_d)
-            keep = np.where(seg < d, seg < used_d[of], seg - d < (used - used_d)[of])
-            of, h, seg = of[keep], h[keep], seg[keep]
-            cell = of * (d + e) + seg
-            total = sums_by(h, cell, len(chosen) * (d + e)) + np.bincount(cell, minlength=len(chosen) * (d + e)).astype(U64) * U64(0x2545F4914F6CDD1D)
-            tag = mix(np.arange(d + e, dtype=U64) + U64(mix_int(int(b) + 991)))
-            segs = np.arange(d + e)
-            live = np.where(segs[None, :] < d, segs[None, :] < used_d[:, None], segs[None, :] - d < (used - used_d)[:, None]).ravel()
-            cells = np.flatnonzero(live)
-            sigs.append(mix(total[cells] + tag[cells % (d + e)]))
-            docs.append(chosen[cells // (d + e)])
-            loose = seg < d
-            sigs.append(mix(total[cell[loose]] - h[loose] - U64(0x2545F4914F6CDD1D) + tag[seg[loose]]))
-            docs.append(chosen[of[loose]])
+            m = d + e
+            seg = (mix(h + U64(1)) % U64(m)).astype(np.int64)
+            cell = of * m + seg
+            count = np.bincount(cell, minlength=len(chosen) * m).reshape(-1, m)
+            loose = np.arange(m) < d
+            # Units of tolerance from segments whose shared subset can't be empty, in order until they suffice.
+            units = np.cumsum(np.where(loose, 2 * (count >= 2), count >= 1), axis=1)
+            live = np.concatenate([np.zeros((len(chosen), 1), int), units[:, :-1]], axis=1) < need[chosen][:, None]
+            scant = units[:, -1] < need[chosen]
+            step, tag = U64(0x2545F4914F6CDD1D), mix(np.arange(m, dtype=U64) + U64(mix_int(int(b) + 991)))
+            total = sums_by(h, cell, len(chosen) * m) + count.ravel().astype(U64) * step
+            cells = np.flatnonzero(live & ((count > 0) | scant[:, None]))
+            sigs.append(mix(total[cells] + tag[cells % m]))
+            docs.append(chosen[cells // m])
+            some = np.flatnonzero(live.ravel()[cell] & loose[seg])
+            some = some[(count.ravel()[cell[some]] > 1) | scant[of[some]]]
+            sigs.append(mix(total[cell[some]] - h[some] - step + tag[seg[some]]))
+            docs.append(chosen[of[some]])
     if not sigs:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     return np.concatenate(sigs), np.concatenate(docs)
@@ -277,22 +284,36 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)
-    # Entries that still hold several components and more than the pair that was tested.
-    left = open_rows(stars_of, "pivot", "member").select("sig").distinct()
-    held = stars_of.join(left, "sig", "left_semi")
-    held = held.select("sig", F.col("pivot").alias("m")).union(held.select("sig", F.col("member").alias("m"))).distinct()
-    held = cut(held.join(labels.select(F.col("node").alias("m"), "component"), "m", "left").withColumn("component", F.coalesce("component", "m")))
-    sizes = held.groupBy("sig", "component").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all")).where("all > 2")
-    outside = held.join(sizes, "sig").where("component != main").select("sig", F.col("m").alias("x"), F.col("component").alias("cx"))
-    cross = outside.join(held, "sig").where("cx != component").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
-    cross = pruned(cross.join(pairs, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        first_texts = texts
-        rest = cross.select(F.col("a").alias("set_id")).union(cross.select("b")).distinct().join(first_texts, "set_id", "left_anti")
-        texts = first_texts.union(fetch(rest))
-        more = verified(cross)
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    # Entries that still hold several components: members outside the main one meet a varied member
+    # of it, as long as that gives links, and then every member of another component.
+    turn, last = 0, False
+    while True:
+        left = open_rows(stars_of, "pivot", "member").select("sig").distinct()
+        held = stars_of.join(left, "sig", "left_semi")
+        held = held.select("sig", F.col("pivot").alias("m")).union(held.select("sig", F.col("member").alias("m"))).distinct()
+        held = cut(held.join(labels.select(F.col("node").alias("m"), "component"), "m", "left").withColumn("component", F.coalesce("component", "m")))
+        by_part = held.groupBy("sig", "component").agg(F.count("*").alias("c"), F.max(F.struct(F.xxhash64("m", "sig", F.lit(turn)).alias("h"), "m"))["m"].alias("some"))
+        main = by_part.groupBy("sig").agg(F.max(F.struct("c", "component", "some")).alias("main"), F.sum("c").alias("all")).where("all > 2").select("sig", "main.component", "main.some")
+        outside = held.join(main.withColumnRenamed("component", "mc"), "sig").where("component != mc").select("sig", F.col("m").alias("x"), F.col("component").alias("cx"), "some")
+        if last:
+            other = outside.join(side("a", "x"), "x").join(held.join(side("b", "m"), "m"), "sig").where((F.col("cx") != F.col("component")) & _within(p, q)).select("x", "m")
+        else:
+            other = outside.select("x", F.col("some").alias("m"))
+        cross = pruned(other.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        more = None
+        if not cross.isEmpty():
+            rest = cross.select(F.col("a").alias("set_id")).union(cross.select("b")).distinct().join(texts, "set_id", "left_anti")
+            texts = texts.union(fetch(rest))
+            more = verified(cross)
+        drop_cut(held)
+        found = more is not None and not more.isEmpty()
+        if found:
+            links = links.union(more)
+            labels = components(links)
+        if last:
+            break
+        turn += 1
+        last = turn >= 3 or not found
 
     joined = nodes.select("set_id", F.col("doc_id").alias("least_id")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
