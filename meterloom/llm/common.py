@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 _local: dict[str, str] = {}
@@ -53,6 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_with(df: DataFrame, *fields: tuple[str, str]) -> StructType:
+    """df's schema and more columns, each a (name, type)."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in fields:
+        out = out.add(name, kind)
+    return out
+
+
 def fold_of(column: str, folds: int):
     """crc32 of an integer column's text, mod folds; null counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -83,6 +92,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything but letters of ASCII and bytes of other characters.
+NOT_LETTERS = np.ones(256, bool)
+NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -125,18 +137,21 @@ def as_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Words of the documents data[offsets[i]:offsets[i+1]], in windows of bounded size that end between words."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap: np.ndarray | None = None) -> Words:
+    """Words of the documents data[offsets[i]:offsets[i+1]], in windows of bounded size that end between words.
+
+    gap tells which bytes separate words, white space unless given."""
+    gap = _GAP if gap is None else gap
     n, starts, ends, hashes, at = len(data), [], [], [], 0
     edges = np.zeros(n + 1, bool)
     edges[offsets] = True
     while at < n:
         to = min(n, at + WINDOW)
-        while to < n and not (_GAP[data[to]] or edges[to]):
-            step = np.flatnonzero(_GAP[data[to : to + WINDOW]] | edges[to : min(n, to + WINDOW)])
+        while to < n and not (gap[data[to]] or edges[to]):
+            step = np.flatnonzero(gap[data[to : to + WINDOW]] | edges[to : min(n, to + WINDOW)])
             to = to + int(step[0]) if len(step) else min(n, to + WINDOW)
         b = data[at:to]
-        inside = ~_GAP[b]
+        inside = ~gap[b]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1] | edges[at + 1 : to]
         last[:-1] &= ~inside[1:] | edges[at + 1 : to]

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meterloom.llm.common import table
+from meterloom.llm.common import fold_of, table
 from meterloom.llm.embedding_dedup import near_vectors
 from meterloom.llm.imatch import fingerprints_with_next
+from meterloom.llm.language_id import fit as fit_languages
+from meterloom.llm.language_id import identify
 from meterloom.llm.ngram_jaccard import join_classes
 from meterloom.llm.poisson_mix import mix_sources
+from meterloom.llm.toxicity import toxicity
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +27,18 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs, folds=4, held=2)
+    return identify(docs.drop("lang"), model=model).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weight for every source, at the corpus's own size."""
     return mix_sources(table(spark, sf_dir, "documents"), weights=None, size=1.0)
@@ -32,6 +48,8 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_imatch": op3_imatch,
+    "op4_language_id": op4_language_id,
+    "op6_toxicity": op6_toxicity,
     "op10_poisson_mix": op10_poisson_mix,
 }
 
