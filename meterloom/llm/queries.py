@@ -11,9 +11,13 @@ from meterloom.llm.imatch import fingerprints_with_next
 from meterloom.llm.language_id import fit as fit_languages
 from meterloom.llm.language_id import identify
 from meterloom.llm.ngram_jaccard import join_classes
+from meterloom.llm.piece_transducer import decode, encode
 from meterloom.llm.poisson_mix import mix_sources
 from meterloom.llm.toxicity import toxicity
 
+#: A public byte-pair model with byte fallback.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
@@ -33,6 +37,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.drop("lang"), model=model).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every whole text, and whether decoding gives the text back (marks of white space in
+    the text itself come back as spaces, as the model has it)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = decode(encode(docs, MODEL), MODEL)
+    same = F.col("decoded") == F.translate("text", "\u2581", " ")
+    return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
@@ -44,13 +57,21 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=None, size=1.0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_imatch": op3_imatch,
     "op4_language_id": op4_language_id,
+    "op5_piece_transducer": op5_piece_transducer,
     "op6_toxicity": op6_toxicity,
     "op10_poisson_mix": op10_poisson_mix,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
