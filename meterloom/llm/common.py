@@ -56,10 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def schema_with(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     """df's schema and more columns, each a (name, type)."""
-    out = StructType(list(df.schema.fields))
-    for name, kind in fields:
-        out = out.add(name, kind)
-    return out
+    return StructType(list(df.schema.fields) + [StructType.fromDDL(f"`{name}` {kind}").fields[0] for name, kind in fields])
 
 
 def fold_of(column: str, folds: int):
