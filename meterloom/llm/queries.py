@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterloom.llm.common import fold_of, table
 from meterloom.llm.embedding_dedup import near_vectors
+from meterloom.llm.html_template import extract_main
 from meterloom.llm.imatch import fingerprints_with_next
 from meterloom.llm.language_id import fit as fit_languages
 from meterloom.llm.language_id import identify
@@ -52,6 +53,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weight for every source, at the corpus's own size."""
     return mix_sources(table(spark, sf_dir, "documents"), weights=None, size=1.0)
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_piece_transducer": op5_piece_transducer,
     "op6_toxicity": op6_toxicity,
+    "op7_html_template": op7_html_template,
     "op10_poisson_mix": op10_poisson_mix,
     "pipeline": pipeline,
 }
