@@ -13,6 +13,7 @@ from meterloom.llm.language_id import fit as fit_languages
 from meterloom.llm.language_id import identify
 from meterloom.llm.ngram_jaccard import join_classes
 from meterloom.llm.piece_transducer import decode, encode
+from meterloom.llm.pitman_yor import score_texts
 from meterloom.llm.poisson_mix import mix_sources
 from meterloom.llm.toxicity import toxicity
 
@@ -57,6 +58,10 @@ def op7_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main(table(spark, sf_dir, "pages"))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weight for every source, at the corpus's own size."""
     return mix_sources(table(spark, sf_dir, "documents"), weights=None, size=1.0)
@@ -76,6 +81,7 @@ QUERIES = {
     "op5_piece_transducer": op5_piece_transducer,
     "op6_toxicity": op6_toxicity,
     "op7_html_template": op7_html_template,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_poisson_mix": op10_poisson_mix,
     "pipeline": pipeline,
 }
