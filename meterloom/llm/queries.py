@@ -15,6 +15,7 @@ from meterloom.llm.ngram_jaccard import join_classes
 from meterloom.llm.piece_transducer import decode, encode
 from meterloom.llm.pitman_yor import score_texts
 from meterloom.llm.poisson_mix import mix_sources
+from meterloom.llm.quality_kn import quality
 from meterloom.llm.toxicity import toxicity
 
 #: A public byte-pair model with byte fallback.
@@ -58,6 +59,13 @@ def op7_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity under text labelled as of good quality, and whether the document is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality(docs, trusted).select("doc_id", "lang", "perplexity", "threshold", "keep")
+
+
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), folds=7, held=2)
 
@@ -81,6 +89,7 @@ QUERIES = {
     "op5_piece_transducer": op5_piece_transducer,
     "op6_toxicity": op6_toxicity,
     "op7_html_template": op7_html_template,
+    "op8_quality_kn": op8_quality_kn,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_poisson_mix": op10_poisson_mix,
     "pipeline": pipeline,
