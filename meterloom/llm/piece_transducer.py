@@ -211,12 +211,16 @@ def stays(t: Transducer, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes blocks of texts; remembers which pairs of pieces stay."""
+    """Encodes blocks of texts; remembers which pairs of pieces stay, and paths of segments, in tables of fixed size."""
+
+    SLOTS, POOL = 1 << 18, 1 << 22
 
     def __init__(self, t: Transducer):
         self.t = t
         self.pairs = np.full(1 << 21, -1, np.int64)
         self.stay = np.zeros(1 << 21, bool)
+        self.names, self.at, self.width = np.zeros(self.SLOTS, U64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.pool, self.used = np.zeros(self.POOL, np.int32), 0
 
     def valid(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         pair = (a << 32) | b
@@ -260,17 +264,39 @@ class Encoder:
         total = np.zeros(n + 1, U64)
         np.cumsum(mix(c.astype(U64) + U64(0x51ED27)) * up[:n], out=total[1:])
         name = mix((total[begin + length] - total[begin]) * down[begin] + length.astype(U64))
-        _, one, which = np.unique(name, return_index=True, return_inverse=True)
-        ids, counts = self.paths(c, total, down, begin[one], length[one])
-        offset = np.cumsum(counts) - counts
+        name, one, which = np.unique(name, return_index=True, return_inverse=True)
+        pool, offset, counts = self.segments(name, c, total, down, begin[one], length[one])
         per = counts[which]
         ends = np.cumsum(per)
-        out = ids[np.arange(ends[-1]) - np.repeat(ends - per - offset[which], per)]
+        out = pool[np.arange(ends[-1]) - np.repeat(ends - per - offset[which], per)]
         doc = np.searchsorted(first[sizes > 0], begin, "right") - 1
         number = np.zeros(len(texts), np.int64)
         number[sizes > 0] = np.bincount(doc, per, (sizes > 0).sum()).astype(np.int64)
         return out, number
 
+    def segments(self, name, c, total, down, begin, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each named segment's begin, how many it has)."""
+        slot = (name & U64(self.SLOTS - 1)).astype(np.int64)
+        known = (self.names[slot] == name) & (self.width[slot] > 0)
+        offset, counts = self.at[slot].astype(np.int64), self.width[slot].astype(np.int64)
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return self.pool, offset, counts
+        ids, counts[new] = self.paths(c, total, down, begin[new], length[new])
+        offset[new] = np.cumsum(counts[new]) - counts[new]
+        if self.used + len(ids) > self.POOL:  # start again; this block's old paths are copied out
+            old = np.flatnonzero(known)
+            ends = np.cumsum(counts[old])
+            kept = self.pool[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts[old] - offset[old], counts[old])]
+            offset[old] = ends - counts[old] + len(ids)
+            self.width[:], self.used = 0, 0
+            return np.concatenate([ids, kept]), offset, counts
+        offset[new] += self.used
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.names[slot[new]], self.at[slot[new]], self.width[slot[new]] = name[new], offset[new], counts[new]
+        return self.pool, offset, counts
+
     def paths(self, c, total, down, begin, length) -> tuple[np.ndarray, np.ndarray]:
         """Shortest paths of the lattices of c[begin:begin+length]: (ids one after another, how many each has)."""
         t = self.t
@@ -386,7 +412,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "piece_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(t)
-        for batch, _, _ in blocks(batches, text, 1 << 21):
+        for batch, _, _ in blocks(batches, text, 1 << 18):
             ids, counts = encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out])
