@@ -104,12 +104,13 @@ def host_of(url: str | None) -> str:
 
 
 def occurrences(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """(host, token, parent, vector, pages) summed over the pages of a batch. Input: page key, url, html."""
+    """(host, token, parent, low, high, pages) summed over the pages of a batch; low and high are the halves of
+    the vector's sum. Input: page key, url, html."""
     sums: dict = {}
 
     def flush() -> pa.RecordBatch:
         keys = list(sums)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([_signed(k[2]) for k in keys], pa.int64()), pa.array([_signed(v[0]) for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["host", "token", "parent", "vector", "pages"])
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([_signed(k[2]) for k in keys], pa.int64()), pa.array([v[0] & 0xFFFFFFFF for v in sums.values()], pa.int64()), pa.array([v[0] >> 32 for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["host", "token", "parent", "low", "high", "pages"])
         sums.clear()
         return out
 
@@ -139,8 +140,11 @@ def _signed(x: int) -> int:
 def templates(pages: DataFrame, share: float = 0.5, least: int = 4) -> DataFrame:
     """(host, template): the tokens of the valid classes of each host, at most mean tokens a page / share."""
     key = F.xxhash64("page_id", "url", F.length("html")).alias("page")
-    tokens = pages.select(key, "url", "html").mapInArrow(occurrences, "host string, token long, parent long, vector long, pages long")
-    tokens = cut(tokens.groupBy("host", "token", "parent").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages")))
+    tokens = pages.select(key, "url", "html").mapInArrow(occurrences, "host string, token long, parent long, low long, high long, pages long")
+    tokens = tokens.groupBy("host", "token", "parent").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("pages").alias("pages"))
+    half = F.lit(0xFFFFFFFF)
+    carried = (F.col("high") + F.shiftright("low", 32)).bitwiseAND(half)
+    tokens = cut(tokens.select("host", "token", "parent", F.struct(carried.alias("high"), F.col("low").bitwiseAND(half).alias("low")).alias("vector"), "pages"))
     hosts = tokens.where("parent = 0").groupBy("host").agg(F.max("pages").alias("all"))
     often = tokens.join(hosts, "host").where((F.col("pages") >= share * F.col("all")) & (F.col("all") >= least))
     classes = often.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "parent")).alias("members"))

@@ -77,15 +77,14 @@ def chosen_words(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(1), features], ["positive", "features"])
 
 
-def nn_pu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l1: float = 2e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias) that minimise the non-negative PU risk; rows hold feature places, duplicates none."""
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
+def nn_pu(doc: np.ndarray, feature: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l1: float = 2e-4) -> tuple[np.ndarray, float]:
+    """(weights, bias) that minimise the non-negative PU risk; document doc[i] has feature[i], each once."""
+    n = len(positive)
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
     w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(doc, w[feature], len(rows)) + b
+        z = np.bincount(doc, w[feature], n) + b
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         minus = np.logaddexp(0, z)
         negative = minus[~positive].sum() / n_u - prior * minus[positive].sum() / n_p
@@ -101,7 +100,7 @@ def nn_pu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior:
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 6000, unlabelled: int = 12000, features: int = 4096) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 6000, unlabelled: int = 12000, features: int = 2048) -> tuple[np.ndarray, np.ndarray, float]:
     """(word hashes, weights, bias). Labels come from rows outside the held-out fold only; without
     any toxic label every text scores the prior."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of("doc_id", folds) != held))
@@ -121,8 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, posit
     keys = np.sort(np.array([r.h for r in best], np.int64).view(U64))
     if not len(keys):
         return np.zeros(0, U64), np.zeros(0), float(np.log(prior / (1 - prior)))
-    got = sample.mapInArrow(lambda x: chosen_words(x, keys), "positive boolean, features array<int>").collect()
-    w, b = nn_pu([np.array(r.features, np.int32) for r in got], np.array([r.positive for r in got]), len(keys), prior)
+    got = sample.mapInArrow(lambda x: chosen_words(x, keys), "positive boolean, features array<int>").toArrow()
+    lists = got.column("features").combine_chunks()
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    w, b = nn_pu(doc, lists.flatten().to_numpy(), got.column("positive").to_numpy().astype(bool), len(keys), prior)
     return keys[w != 0], w[w != 0], b
 
 
