@@ -16,9 +16,15 @@ def with_lag(df: DataFrame, c: str, k: int = 1, keys=KEY, ts: str = "ts") -> Dat
     return df.withColumn(f"{c}_lag", F.lag(c, k).over(in_order(keys, ts)))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation of the rows with both, null where either doesn't vary."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b))))
+
+
 def autocorrelation(df: DataFrame, c: str, k: int = 1, keys=KEY, ts: str = "ts") -> DataFrame:
     """Pearson correlation of c with itself k rows before."""
-    return with_lag(df, c, k, keys, ts).groupBy(*keys).agg(F.corr(c, f"{c}_lag").alias("autocorr"), F.count(c).alias("n"))
+    return with_lag(df, c, k, keys, ts).groupBy(*keys).agg(correlation(c, f"{c}_lag").alias("autocorr"), F.count(c).alias("n"))
 
 
 def acf(df: DataFrame, c: str, k: int = 1, keys=KEY, ts: str = "ts") -> DataFrame:
@@ -44,7 +50,7 @@ def fit_metrics(df: DataFrame, parameters: int | Column, keys=KEY, ts: str = "ts
     o, e, r = F.col(observed), F.col(predicted), F.col("_r")
     g = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(o).alias("_mean"), iqr(o).alias("_iqr"), F.sum(r * r).alias("sse"), F.avg(F.abs(r)).alias("mae"), F.avg(r).alias("mbe"),
-        F.coalesce(F.corr("_r", "_r_lag"), F.lit(0.0)).alias("_rho"), F.corr(o, e).alias("_c"), F.avg(F.abs(F.when(o != 0, r / o))).alias("mape"), (F.sum(o * o) - F.count(o) * F.avg(o) * F.avg(o)).alias("_sst"), p.alias("_p") if not isinstance(parameters, Column) else F.max(p).alias("_p"),
+        F.coalesce(correlation("_r", "_r_lag"), F.lit(0.0)).alias("_rho"), correlation(observed, predicted).alias("_c"), F.avg(F.abs(F.when(o != 0, r / o))).alias("mape"), (F.sum(o * o) - F.count(o) * F.avg(o) * F.avg(o)).alias("_sst"), p.alias("_p") if not isinstance(parameters, Column) else F.max(p).alias("_p"),
     )
     n = F.col("n")
     g = g.withColumn("n_prime", effective_n(n, F.col("_rho")))

@@ -453,3 +453,63 @@ def common_range(spark, d):
     b = df.withColumn("_m", F.max("ts").over(w)).where(F.col("ts") <= F.col("_m") - F.expr("interval 45 days")).drop("_m")
     left, _ = cleaning.common_range(a, b)
     return left.groupBy("meter_id").agg(F.count("*").alias("n"), F.sum("observed").alias("observed"))
+
+
+def _panel(spark, d, first, last):
+    return daily(spark, d, first, last).select("meter_id", "ts", "temperature", "observed")
+
+
+@query()
+def daily_fit(spark, d):
+    """The change-point model of 1997 by meter, and how its prediction of 1998 compares."""
+    from meterloom.models.daily import DailyModel
+
+    m = DailyModel()
+    params = m.fit(_panel(spark, d, "1997-01-01", "1997-12-31"))
+    return m.predict(params, _panel(spark, d, "1998-01-01", "1998-12-31")).groupBy("meter_id", "block", "kind").agg(F.count("*").alias("days"), r(F.sum("predicted"), 3).alias("predicted"), F.sum("observed").alias("observed"), r(F.sum("heating_load"), 3).alias("heating_load"), r(F.sum("cooling_load"), 3).alias("cooling_load"))
+
+
+@query()
+def billing_fit(spark, d):
+    """Bills of a year spread over days, the older model, and predictions by two months."""
+    from meterloom.models.daily import BillingModel
+
+    year = F.col("ts").cast("date").between(F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date"))
+    use = resample.spread(bills(spark, d), "day").where(year)
+    use = use.select("meter_id", "ts", F.col("value").alias("observed"), temperature_of(F.col("ts").cast("date")).alias("temperature"))
+    m = BillingModel()
+    params = m.fit(use)
+    return m.predict_months(params, use, 2).select("meter_id", F.date_format("month", "yyyy-MM").alias("month"), r("predicted", 3).alias("predicted"), r("observed", 3).alias("observed"))
+
+
+def _hourly(spark, d):
+    h = resample.fill_ends(dense(spark, d), "value")
+    t = temperature_of(F.col("ts").cast("date")) + (12 - F.abs(F.hour("ts") - 15)) * 0.75
+    return h.select("meter_id", "ts", F.col("value").alias("observed"), t.alias("temperature"))
+
+
+@query()
+def segmented_fit(spark, d):
+    from meterloom.models.segmented import SegmentedModel
+
+    h, m = _hourly(spark, d), SegmentedModel()
+    p = m.predict(m.fit(h), h)
+    return p.groupBy("meter_id").agg(F.count("predicted").alias("hours"), r(F.sum("predicted"), 3).alias("predicted"), r(F.sum("observed"), 3).alias("observed"))
+
+
+@query()
+def demand_response_fit(spark, d):
+    from meterloom.models.segmented import DemandResponseModel
+
+    h, m = _hourly(spark, d), DemandResponseModel()
+    p = m.predict(m.fit(h), h)
+    return p.groupBy("meter_id").agg(F.count("predicted").alias("hours"), r(F.sum("predicted"), 3).alias("predicted"), r(F.sum("observed"), 3).alias("observed"))
+
+
+@query()
+def hourly_fit(spark, d):
+    from meterloom.models.hourly import HourlyModel
+
+    h, m = _hourly(spark, d), HourlyModel()
+    p = m.predict(m.fit(h), h)
+    return p.groupBy("meter_id").agg(F.count("predicted").alias("hours"), r(F.sum("predicted"), 3).alias("predicted"), r(F.sum("observed"), 3).alias("observed"))
