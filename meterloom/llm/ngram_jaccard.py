@@ -38,7 +38,7 @@ from meterloom.llm.components import components
 
 GROWTH = 1.5
 SKETCH = 8  # words of 64 bits
-PAIR_COST, AGREE = 1.0, 0.1
+PAIR_COST, AGREE = 1.0, 0.05
 
 
 def bands(limit: int) -> list[int]:

@@ -77,9 +77,10 @@ def chosen_words(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(1), features], ["positive", "features"])
 
 
-def nn_pu(doc: np.ndarray, feature: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l1: float = 2e-4) -> tuple[np.ndarray, float]:
+def nn_pu(doc: np.ndarray, feature: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """(weights, bias) that minimise the non-negative PU risk; document doc[i] has feature[i], each once."""
     n = len(positive)
+    l1 = float(np.clip(0.006 / np.sqrt(max(1, positive.sum())), 2e-4, 3e-3))  # fewer examples, fewer words
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
     w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
