@@ -49,15 +49,27 @@ def elastic_net(x: np.ndarray, y: np.ndarray, s: HourlySettings) -> tuple[np.nda
     b = np.zeros((x.shape[1], y.shape[1]))
     l1, l2 = s.alpha * s.l1_ratio, s.alpha * (1 - s.l1_ratio)
     norm = np.diag(g)
-    for _ in range(s.max_iter):
+    every = np.flatnonzero(norm > 0)
+
+    def sweep(rows: np.ndarray) -> float:
         most = 0.0
-        for j in np.flatnonzero(norm > 0):
-            old = b[j].copy()
+        for j in rows:
+            old = b[j]
             z = q[j] - g[j] @ b + norm[j] * old
-            b[j] = np.sign(z) * np.maximum(np.abs(z) - l1, 0) / (norm[j] + l2)
-            most = max(most, float(np.abs(b[j] - old).max()))
-        if most < s.tol * max(float(np.abs(b).max()), 1e-12):
+            new = np.sign(z) * np.maximum(np.abs(z) - l1, 0) / (norm[j] + l2)
+            most = max(most, float(np.abs(new - old).max()))
+            b[j] = new
+        return most
+
+    # Whole sweeps find which rows take part, sweeps over those alone settle them.
+    rounds = 0
+    while rounds < s.max_iter:
+        rounds += 1
+        if sweep(every) < s.tol * max(float(np.abs(b).max()), 1e-12):
             break
+        live = every[(b[every] != 0).any(axis=1)]
+        while rounds < s.max_iter and sweep(live) >= s.tol * max(float(np.abs(b).max()), 1e-12):
+            rounds += 1
     return b.T, my - mx @ b
 
 
