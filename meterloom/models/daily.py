@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from meterloom.functions import calendar as cal
 from meterloom.functions import scalar
 from meterloom.functions.stats import interval_factor
+from meterloom.models.overlap import separate_seasons
 from meterloom.models.robust import adaptive_weights
 
 DAYS = {"fw": ("weekday", "weekend"), "wd": ("weekday",), "we": ("weekend",)}
@@ -42,6 +43,7 @@ class Settings:
     alpha: float = 0.1
     cvrmse_threshold: float = 1.0
     weekend: tuple[int, ...] = (5, 6)
+    reduce_by_overlap: bool = True
 
     @staticmethod
     def legacy(**more) -> "Settings":
@@ -211,9 +213,11 @@ def uncertainty(resid: np.ndarray, coefficients: int, alpha: float) -> float:
     return float(np.std(resid) * interval_factor(free + 1, "PI", alpha))
 
 
-def allowed_splits(season: np.ndarray, day_type: np.ndarray, s: Settings) -> list[str]:
-    """Splits whose blocks have days enough; the undivided one always."""
+def allowed_splits(season: np.ndarray, day_type: np.ndarray, s: Settings, t: np.ndarray | None = None, y: np.ndarray | None = None) -> list[str]:
+    """Splits whose blocks have days enough; the undivided one always. With reduce_by_overlap, seasons stand
+    alone only where their use by temperature is apart from their neighbours'."""
     out = []
+    apart = separate_seasons(t, y, season, day_type) if s.reduce_by_overlap and t is not None else dict.fromkeys(SEASON.values(), True)
     for split in all_splits():
         parts = split.split("__")
         if split == "fw-su_sh_wi":
@@ -222,7 +226,7 @@ def allowed_splits(season: np.ndarray, day_type: np.ndarray, s: Settings) -> lis
         if not s.split:
             continue
         single = [p.split("-")[1] for p in parts if "_" not in p.split("-")[1]]
-        if any((season == SEASON[x]).sum() < s.season_minimum for x in single):
+        if any((season == SEASON[x]).sum() < s.season_minimum or not apart[SEASON[x]] for x in single):
             continue
         if any((np.isin(season, [SEASON[x] for x in p.split("-")[1].split("_")]) & (day_type == "weekend")).sum() < s.weekend_minimum for p in parts):
             continue
@@ -232,7 +236,7 @@ def allowed_splits(season: np.ndarray, day_type: np.ndarray, s: Settings) -> lis
 
 def choose(t: np.ndarray, y: np.ndarray, season: np.ndarray, day_type: np.ndarray, s: Settings, splits: list[str] | None = None) -> tuple[str, dict[str, Fit]]:
     """(split, fits of its blocks): each block is fitted once and serves all splits that have it."""
-    splits = splits or allowed_splits(season, day_type, s)
+    splits = splits or allowed_splits(season, day_type, s, t, y)
     fits = {}
     for part in sorted({p for x in splits for p in x.split("__")}):
         mask = block_mask(part, season, day_type)

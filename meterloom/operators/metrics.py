@@ -126,3 +126,22 @@ def criterion(loss: Column, k: Column, n: Column, kind: str = "bic", c0: float =
     if kind not in penalty:
         raise NotImplementedError(f"criterion {kind}")
     return (-2 * likelihood + c0 * penalty[kind]) / n
+
+
+def legacy_metrics(df: DataFrame, parameters: int, keys=KEY, ts: str = "ts", observed: str = "observed", predicted: str = "predicted", lags: int = 1) -> DataFrame:
+    """The older metrics: residuals are predicted less observed, and normalised by the mean or sum of use."""
+    df = df.where(F.col(observed).isNotNull() & F.col(predicted).isNotNull()).withColumn("_r", F.col(predicted) - F.col(observed))
+    df = with_lag(df, "_r", lags, keys, ts)
+    r, n = F.col("_r"), F.col("n")
+    g = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(observed).alias("observed_mean"), F.stddev_samp(observed).alias("observed_std"), F.avg(predicted).alias("predicted_mean"), F.sum(observed).alias("_sum"), F.sum(r * r).alias("_sse"), F.sum(F.abs(r)).alias("_sae"), F.sum(r).alias("_sr"), correlation(observed, predicted).alias("_c"), correlation("_r", "_r_lag").alias("autocorr_resid"), F.avg(F.when(F.col(observed) != 0, F.abs(r / F.col(observed)))).alias("mape"))
+    r2 = F.col("_c") * F.col("_c")
+    out = {"r_squared": r2, "r_squared_adj": F.when(n > parameters + 1, 1 - (1 - r2) * (n - 1) / (n - parameters - 1)), "rmse": F.sqrt(F.col("_sse") / n), "rmse_adj": F.when(n > parameters, F.sqrt(F.col("_sse") / (n - parameters)))}
+    g = g.withColumns(out).withColumns({"cvrmse": F.try_divide("rmse", "observed_mean"), "cvrmse_adj": F.try_divide("rmse_adj", "observed_mean"), "nmae": F.try_divide("_sae", "_sum"), "nmbe": F.try_divide("_sr", "_sum"), "n_prime": effective_n(n, F.col("autocorr_resid"))})
+    np_ = F.col("n_prime")
+    return g.withColumn("fsu_base_term", F.col("cvrmse_adj") * F.sqrt(n / np_ * (1 + 2 / np_))).drop("_sum", "_sse", "_sae", "_sr", "_c")
+
+
+def fractional_error(t: Column, rmse: Column, post_obs: Column, base_obs: Column, base_avg: Column, post_avg: Column, n_prime: Column, interval: str) -> Column:
+    """Error of a total by the polynomial in months: of bills those reported, else 30 rows to a month."""
+    months = post_obs if interval == "billing" else post_obs / 30.0
+    return t * post_avg * rmse / base_avg * F.sqrt(base_obs / n_prime * (1 + 2 / n_prime) * post_obs) * polynomial(months, "billing" if interval == "billing" else "daily")

@@ -513,3 +513,53 @@ def hourly_fit(spark, d):
     h, m = _hourly(spark, d), HourlyModel()
     p = m.predict(m.fit(h), h)
     return p.groupBy("meter_id").agg(F.count("predicted").alias("hours"), r(F.sum("predicted"), 3).alias("predicted"), r(F.sum("observed"), 3).alias("observed"))
+
+
+@query(f"""WITH {HOURS}, x AS (SELECT meter_id, ts, value FROM hours), a AS (SELECT meter_id, min(ts) + INTERVAL 3 DAY AS lo, max(ts) AS hi FROM x GROUP BY 1)
+SELECT x.meter_id, count(*) AS n, round(sum(value), 5) AS value FROM x JOIN a USING (meter_id) WHERE ts BETWEEN lo AND hi GROUP BY 1""")
+def trim_to_values(spark, d):
+    """Readings of the first three days taken away, and what is left trimmed to values."""
+    from meterloom.operators import alignment
+
+    h = hours(spark, d)
+    first = F.min("ts").over(Window.partitionBy("meter_id"))
+    h = h.withColumn("_f", first).withColumn("value", F.when(F.col("ts") >= F.col("_f") + F.expr("interval 3 days"), F.col("value"))).drop("_f")
+    out = alignment.trim_ends(h, "value")
+    return out.groupBy("meter_id").agg(F.count("*").alias("n"), r(F.sum("value"), 5).alias("value"))
+
+
+@query(f"""WITH {DAILY}, p AS (SELECT meter_id, ts, observed, temperature, CASE WHEN month(day) % 2 = 1 THEN month(day) ELSE month(day) - 1 END * 100 + year(day) AS g FROM daily)
+SELECT meter_id, count(DISTINCT g)::BIGINT - 1 AS bills, round(1.0::DOUBLE, 6) AS weight FROM p GROUP BY 1""")
+def weighted_bills(spark, d):
+    """Two months of equal use at a time as bills, whose weights sum to one."""
+    from meterloom.operators import alignment
+
+    month = F.month("day")
+    flat = (F.when(month % 2 == 1, month).otherwise(month - 1) * 100 + F.year("day")).cast("double")
+    days = daily(spark, d).withColumn("observed", flat)
+    g = alignment.bill_groups(days, 1)
+    return g.groupBy("meter_id").agg(F.count("*").alias("bills"), r(F.sum("weight")).alias("weight"))
+
+
+@query(BASE + """, l AS (SELECT *, lag(predicted - observed) OVER (PARTITION BY meter_id ORDER BY ts) AS lr FROM p WHERE day < DATE '1998-01-01'),
+z AS (SELECT meter_id, count(*)::DOUBLE AS n, avg(observed) AS om, sum(observed) AS os, sum(res * res) AS sse, sum(abs(res)) AS sae, sum(-res) AS sr, corr(-res, lr) AS ac FROM l GROUP BY 1)
+SELECT meter_id, round(sqrt(sse / (n - 2)) / om, 6) AS cvrmse_adj, round(sae / os, 6) AS nmae, round(sr / os, 6) + 0.0 AS nmbe, round(ac, 6) AS autocorr_resid, round(sqrt(sse / (n - 2)) / om * sqrt(n / (n * (1 - ac) / (1 + ac)) * (1 + 2 / (n * (1 - ac) / (1 + ac)))), 6) AS fsu_base_term FROM z""")
+def legacy_metrics(spark, d):
+    m = metrics.legacy_metrics(_predicted(spark, d).where("day < date'1998-01-01'"), 2)
+    return m.select("meter_id", r("cvrmse_adj").alias("cvrmse_adj"), r("nmae").alias("nmae"), (r("nmbe") + 0.0).alias("nmbe"), r("autocorr_resid").alias("autocorr_resid"), r("fsu_base_term").alias("fsu_base_term"))
+
+
+@query(f"""WITH {DAILY}, m AS (SELECT meter_id, avg(observed) AS m, var_pop(observed) AS v, count(*) AS n FROM daily GROUP BY 1), x AS (SELECT d.meter_id, d.observed - m.m AS x, m.v, m.n, d.ts FROM daily d JOIN m USING (meter_id)), l AS (SELECT *, lag(x, 7) OVER (PARTITION BY meter_id ORDER BY ts) AS lx FROM x)
+SELECT meter_id, round(sum(x * lx) / max(n * v), 6) AS acf FROM l GROUP BY 1""")
+def acf_week(spark, d):
+    """Autocorrelation at seven rows about the whole mean."""
+    return metrics.acf(daily(spark, d), "observed", 7).select("meter_id", r("acf").alias("acf"))
+
+
+@query()
+def lag_fill(spark, d):
+    """Hourly gaps filled from each reader's own most alike lags."""
+    from meterloom.models.filling import fill
+
+    out = fill(dense(spark, d), "value")
+    return out.groupBy("meter_id").agg(F.count("value").alias("hours"), F.sum(F.col("interpolated_value").cast("long")).alias("filled"), r(F.sum("value"), 3).alias("value"))
