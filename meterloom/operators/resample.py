@@ -41,13 +41,18 @@ def spread(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts:
     value. With coverage, also the share of the bucket that has one."""
     w = in_order(keys, ts)
     parts = df.select(*keys, wall(ts).alias("_a"), wall(F.lead(ts).over(w)).alias("_b"), F.col(value).alias("_v")).where("_b is not null")
-    size = {"hour": 3600.0, "day": 86400.0}[step]
-    last = F.date_trunc(step, F.col("_b") - F.expr("interval 1 microsecond")).cast("timestamp_ntz")
-    parts = parts.withColumn(ts, F.explode(F.sequence(bucket(F.col("_a"), step), last, F.expr(STEPS[step]))))
-    a, b, t = seconds("_a"), seconds("_b"), seconds(ts)
-    held = F.least(b, t + size) - F.greatest(a, t)
-    out = parts.withColumn("_held", held).groupBy(*keys, ts).agg(F.sum(F.col("_v") * F.col("_held") / (b - a)).alias(value), (F.sum(F.when(F.col("_v").isNotNull(), F.col("_held"))) / size).alias("coverage"))
-    out = out.withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    size, one = {"hour": 3600.0, "day": 86400.0}[step], F.expr(STEPS[step])
+    low, high = bucket(F.col("_a"), step), bucket(F.col("_b"), step)
+    # Buckets that one reading fills are its own and need no sum; only those at its ends are shared.
+    parts = parts.withColumns({"_fa": F.when(low == F.col("_a"), low).otherwise(low + one), "_fb": high})
+    rate = F.try_divide(F.col("_v"), seconds("_b") - seconds("_a"))
+    whole = parts.where("_fa < _fb").select(*keys, F.explode(F.sequence(F.col("_fa"), F.col("_fb") - one, one)).alias(ts), (rate * size).alias(value), F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0).alias("coverage"))
+    head = F.struct(low.alias("t"), (seconds(F.least("_fa", "_b")) - seconds("_a")).alias("held"))
+    tail = F.struct(high.alias("t"), (seconds("_b") - seconds("_fb")).alias("held"))
+    edges = F.array_compact(F.array(F.when(F.col("_a") < F.col("_fa"), head), F.when((F.col("_fb") < F.col("_b")) & (F.col("_fb") >= F.col("_fa")), tail)))
+    shared = parts.withColumn("_e", F.explode(edges)).select(*keys, F.col("_e.t").alias(ts), (rate * F.col("_e.held")).alias("_x"), F.when(F.col("_v").isNotNull(), F.col("_e.held")).otherwise(0.0).alias("_h"))
+    shared = shared.groupBy(*keys, ts).agg(F.sum("_x").alias(value), (F.sum("_h") / size).alias("coverage"))
+    out = whole.unionByName(shared)
     return out if coverage else out.drop("coverage")
 
 
