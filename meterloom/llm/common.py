@@ -170,7 +170,7 @@ def hash_word(word: str) -> int:
     return int(words(*as_buffers(pa.array([word]))).hash[0])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about `limit` bytes of text, one document at least, each with its bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:

@@ -142,7 +142,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 
 
 def predict(batches: Iterator[pa.RecordBatch], model: Model, penalty: float, spans: bool) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in blocks(batches, "text", 1 << 22):
+    for batch, data, offsets in blocks(batches, "text", 1 << 21):
         n, k = batch.num_rows, len(model.langs)
         w = words(data, offsets, gap=NOT_LETTERS)
         letters = np.bincount(w.doc, minlength=n) > 0

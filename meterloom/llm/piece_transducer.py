@@ -420,6 +420,21 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "piece_id
     return docs.mapInArrow(run, schema_with(docs, (out, "array<int>")))
 
 
+def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """docs with `piece_ids` as encode() gives them and `decoded`, the text that decode() makes of these, in one pass."""
+    t = compile_model(model)
+    docs = docs.drop("piece_ids", "decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(t), Decoder(t)
+        for batch, _, _ in blocks(batches, text, 1 << 18):
+            ids, counts = encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoder.decode(ids.astype(np.int64), counts), pa.string())], [*batch.schema.names, "piece_ids", "decoded"])
+
+    return docs.mapInArrow(run, schema_with(docs, ("piece_ids", "array<int>"), ("decoded", "string")))
+
+
 def decode(rows: DataFrame, model: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """rows with the text of their ids in `out` (null ids: empty text). A column `out` is replaced."""
     t = compile_model(model)

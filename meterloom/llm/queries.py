@@ -12,7 +12,7 @@ from meterloom.llm.imatch import fingerprints_with_next
 from meterloom.llm.language_id import fit as fit_languages
 from meterloom.llm.language_id import identify
 from meterloom.llm.ngram_jaccard import join_classes
-from meterloom.llm.piece_transducer import decode, encode
+from meterloom.llm.piece_transducer import round_trip
 from meterloom.llm.pitman_yor import score_texts
 from meterloom.llm.poisson_mix import mix_sources
 from meterloom.llm.quality_kn import quality
@@ -44,7 +44,7 @@ def op5_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every whole text, and whether decoding gives the text back (marks of white space in
     the text itself come back as spaces, as the model has it)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(docs, MODEL), MODEL)
+    both = round_trip(docs, MODEL)
     same = F.col("decoded") == F.translate("text", "\u2581", " ")
     return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip"))
 
