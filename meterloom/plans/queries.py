@@ -563,3 +563,167 @@ def lag_fill(spark, d):
 
     out = fill(dense(spark, d), "value")
     return out.groupBy("meter_id").agg(F.count("value").alias("hours"), F.sum(F.col("interpolated_value").cast("long")).alias("filled"), r(F.sum("value"), 3).alias("value"))
+
+
+EVENTS2 = "e AS (SELECT user_id AS meter_id, ts::TIMESTAMP AS ts, event_id, value, CASE WHEN event_id % 7 <> 0 THEN value END AS a, CASE WHEN event_id % 5 <> 0 THEN value * 2 END AS b FROM events)"
+
+
+def _holes(spark, d):
+    e = readings(spark, d)
+    return e.withColumns({"a": F.when(F.col("event_id") % 7 != 0, F.col("value")), "b": F.when(F.col("event_id") % 5 != 0, F.col("value") * 2)})
+
+
+@query(f"WITH {EVENTS2} SELECT meter_id, count(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a END) AS n, round(sum(CASE WHEN b IS NOT NULL THEN a END), 5) AS a, round(sum(CASE WHEN a IS NOT NULL THEN b END), 5) AS b FROM e GROUP BY 1")
+def null_partial_rows(spark, d):
+    """Every seventh and every fifth value is null; rows with either are null in both."""
+    out = cleaning.null_partial_rows(_holes(spark, d), ["a", "b"])
+    return out.groupBy("meter_id").agg(F.count("a").alias("n"), r(F.sum("a"), 5).alias("a"), r(F.sum("b"), 5).alias("b"))
+
+
+@query("SELECT user_id AS meter_id, count(CASE WHEN NOT (user_id % 2 = 0 AND floor(value) % 10 = 0) THEN floor(value) % 10 END) AS n, sum(floor(value) % 10) AS total FROM events GROUP BY 1")
+def zero_as_null(spark, d):
+    """Meters with even ids are of electricity; their zeros are null."""
+    e = readings(spark, d).withColumn("v", F.floor("value").cast("double") % 10)
+    return e.withColumn("x", cleaning.zero_as_null("v", F.col("meter_id") % 2 == 0)).groupBy("meter_id").agg(F.count("x").alias("n"), F.sum("v").alias("total"))
+
+
+@query("SELECT user_id AS meter_id, count(*) AS n, round(sum(value), 5) AS value FROM events WHERE minute(ts) = 0 GROUP BY 1")
+def on_the_hour(spark, d):
+    return cleaning.on_the_hour(readings(spark, d)).groupBy("meter_id").agg(F.count("*").alias("n"), r(F.sum("value"), 5).alias("value"))
+
+
+@query(f"""WITH {HOURS}, {SPINE}, d AS (SELECT meter_id, ts::DATE AS day, 24 - sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS good FROM dense GROUP BY 1, 2) SELECT meter_id, count(*) * 24 AS rows FROM d WHERE good >= 3 GROUP BY 1""")
+def training_days(spark, d):
+    return cleaning.training_days(dense(spark, d), F.col("value").isNull(), least=3).groupBy("meter_id").agg(F.count("*").alias("rows"))
+
+
+@query("""WITH y AS (SELECT unnest(generate_series(TIMESTAMP '2020-01-01 05:00:00', TIMESTAMP '2020-12-31 04:00:00', INTERVAL 1 HOUR)) AS u), l AS (SELECT (u AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS l FROM y)
+SELECT strftime(l::DATE, '%Y-%m-%d') AS day, count(*) AS rows FROM l GROUP BY 1 HAVING count(*) IN (23, 25)""")
+def short_and_long_days(spark, d):
+    """Days of a year in New York on which the clock shifts."""
+    n = F.expr("explode(sequence(timestamp_ntz'2020-01-01 05:00:00', timestamp_ntz'2020-12-31 04:00:00', interval 1 hour))")
+    h = spark.range(1).select(F.lit("x").alias("meter_id"), n.alias("u")).withColumn("ts", cal.local_time("u", "America/New_York"))
+    return resample.short_and_long_days(h).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "rows")
+
+
+@query(f"WITH {DAILY} SELECT meter_id, strftime(make_date(year(day), month(day) - (month(day) - 1) % 2, 1), '%Y-%m') AS month, sum(observed) AS observed, round(avg(temperature), 6) AS temperature, round(sqrt(sum(temperature * temperature)), 5) AS error, arg_min(observed, ts) AS first FROM daily GROUP BY 1, 2")
+def roll_up_two_months(spark, d):
+    df = daily(spark, d).withColumn("error", F.col("temperature")).withColumn("first", F.col("observed"))
+    out = resample.roll_up(df, 2, ["temperature"], ["observed"], ["first"], ["error"])
+    return out.select("meter_id", F.date_format("month", "yyyy-MM").alias("month"), "observed", r("temperature").alias("temperature"), r("error", 5).alias("error"), "first")
+
+
+@query(f"""WITH {DAILY}, p AS (SELECT meter_id, month(day) AS m, isodow(day) - 1 AS w, avg(observed) AS v FROM daily GROUP BY 1, 2, 3), k AS (SELECT meter_id, m, list(v ORDER BY w) AS prof FROM p GROUP BY 1, 2),
+x AS (SELECT a.meter_id, a.m AS id, b.m AS near, list_sum(list_transform(list_zip(a.prof, b.prof), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM k a JOIN k b ON a.meter_id = b.meter_id AND a.m % 2 = 1 AND b.m % 2 = 0)
+SELECT meter_id, id, near FROM (SELECT *, row_number() OVER (PARTITION BY meter_id, id ORDER BY dist, near) AS rn FROM x) WHERE rn = 1""")
+def nearest_profile(spark, d):
+    """For each odd month the even month whose profile over the week is nearest."""
+    p = daily(spark, d).groupBy("meter_id", F.month("day").cast("long").alias("id"), F.weekday("day").alias("w")).agg(F.avg("observed").alias("v"))
+    k = p.groupBy("meter_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("profile")).withColumn("near", F.col("id"))
+    return joins.nearest_profile(k.where("id % 2 = 1").drop("near"), k.where("id % 2 = 0"), "id", "profile", "near").select("meter_id", "id", "near")
+
+
+@query(f"WITH {HOURS} SELECT month(ts) AS month, isodow(ts) - 1 AS weekday, round(avg(CASE WHEN hour(ts) = 0 THEN value END), 6) AS h0, round(avg(CASE WHEN hour(ts) = 12 THEN value END), 6) AS h12 FROM hours GROUP BY 1, 2")
+def mean_profiles(spark, d):
+    """Mean use by month and weekday, hours across."""
+    h = hours(spark, d)
+    p = h.groupBy(F.month("ts").cast("long").alias("month"), F.weekday("ts").cast("long").alias("weekday"))
+    return p.agg(*(r(F.avg(F.when(F.hour("ts") == i, F.col("value")))).alias(f"h{i}") for i in (0, 12)))
+
+
+@query(BASE + " SELECT meter_id, round(sqrt(avg(res * res)), 6) AS rmse, round(avg(abs(res)), 6) AS mae, round(sqrt(avg(res * res)) / avg(observed), 6) AS cvrmse, round(sqrt(avg(res * res)) / (quantile_cont(observed, 0.95) - quantile_cont(observed, 0.05)), 6) AS pnrmse FROM p GROUP BY 1")
+def split_errors(spark, d):
+    from meterloom.models.daily import DailyModel
+
+    return DailyModel().errors(_predicted(spark, d)).select("meter_id", *(r(c).alias(c) for c in ("rmse", "mae", "cvrmse", "pnrmse")))
+
+
+@query(f"""SELECT event_id, {TEXT.format("date_trunc('hour', ts)")} AS floor, {TEXT.format("CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END")} AS ceil, {TEXT.format("date_trunc('hour', ts + INTERVAL 30 MINUTE)")} AS nearest FROM events""")
+def hour_rounding(spark, d):
+    e = readings(spark, d)
+    return e.select("event_id", text(cal.floor_hour("ts")).alias("floor"), text(cal.ceil_hour("ts")).alias("ceil"), text(cal.round_hour("ts")).alias("nearest"))
+
+
+@query("SELECT l_orderkey, l_linenumber, min(round(floor(log10(l_extendedprice)), 0)) AS magnitude, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2")
+def magnitudes(spark, d):
+    li = _table(spark, d, "lineitem").where("l_linenumber <= 2")
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.min(scalar.magnitude(F.col("l_extendedprice"), "floor")).alias("magnitude"), F.count("*").alias("n"))
+
+
+@query(f"WITH {DAILY}, m AS (SELECT meter_id, quantile_cont(observed, 0.5) AS m FROM daily GROUP BY 1) SELECT meter_id, round(quantile_cont(abs(observed - m), 0.5) * 1.4826022185056018, 6) AS mad_scaled FROM daily JOIN m USING (meter_id) GROUP BY 1")
+def scaled_mad(spark, d):
+    return stats.scaled_mad(daily(spark, d), ["meter_id"], "observed").select("meter_id", r("mad_scaled").alias("mad_scaled"))
+
+
+@query(f"WITH {DAILY}, s AS (SELECT meter_id, sum(temperature * observed) / sum(temperature) AS m, sum(temperature) AS w, count(*)::DOUBLE AS n FROM daily GROUP BY 1) SELECT meter_id, round(sqrt(sum(temperature / w * (observed - m) * (observed - m)) / (1 - 1 / any_value(n))), 4) AS std FROM daily JOIN s USING (meter_id) GROUP BY 1")
+def weighted_std(spark, d):
+    """Use weighed by temperature."""
+    return daily(spark, d).groupBy("meter_id").agg(r(stats.weighted_std(F.col("observed"), F.col("temperature")), 4).alias("std"))
+
+
+@query(f"WITH {DAILY} SELECT meter_id, round(sum(exp((2 * (temperature - 20) / 75.0 - 1) / 2.0) - 1), 4) AS up, round(sum(exp(-(2 * (temperature - 20) / 75.0 - 1) / 2.0) - 1), 4) AS down FROM daily GROUP BY 1")
+def edge_terms(spark, d):
+    up, down = scalar.edge_terms(F.col("temperature"), 20.0, 95.0, 2.0)
+    return daily(spark, d).groupBy("meter_id").agg(r(F.sum(up), 4).alias("up"), r(F.sum(down), 4).alias("down"))
+
+
+@query(f"WITH {DAILY} SELECT meter_id, sum(CASE WHEN month(day) = 1 THEN 1 ELSE 0 END)::BIGINT AS month_1, sum(CASE WHEN month(day) = 7 THEN 1 ELSE 0 END)::BIGINT AS month_7, 0::BIGINT AS month_13 FROM daily GROUP BY 1")
+def one_hot(spark, d):
+    df = daily(spark, d).select("meter_id", *scalar.one_hot(F.month("day"), [1, 7, 13], "month"))
+    return df.groupBy("meter_id").agg(*(F.sum(c).alias(c) for c in ("month_1", "month_7", "month_13")))
+
+
+@query(f"WITH {DAILY} SELECT meter_id, count(CASE WHEN temperature - 50 > 0.001 OR observed / 1000 <= 0.01 THEN 1 END) AS n, round(sum(CASE WHEN temperature - 50 <= 0.001 AND observed / 1000 > 0.01 THEN NULL WHEN temperature = 50 THEN NULL ELSE observed / 1000 / (temperature - 50) END), 5) AS ratio FROM daily GROUP BY 1")
+def guarded_divide(spark, d):
+    top, bottom = F.col("observed") / 1000, F.col("temperature") - 50
+    df = daily(spark, d).withColumn("q", scalar.divide(top, bottom))
+    return df.groupBy("meter_id").agg(F.count(F.when((bottom > 1e-3) | (top <= 1e-2), 1)).alias("n"), r(F.sum("q"), 5).alias("ratio"))
+
+
+@query(f"WITH {DAILY}, n AS (SELECT meter_id, day, observed - 2 * temperature AS a, observed - 3 * temperature AS b FROM daily) SELECT meter_id, round(sum(a - b), 4) AS savings, count(*) AS n FROM n GROUP BY 1")
+def modeled_savings(spark, d):
+    """Two made predictions of the same days, and the first less the second."""
+    df = daily(spark, d)
+    a, b = (df.select("meter_id", "ts", (F.col("observed") - k * F.col("temperature")).alias("predicted")) for k in (2, 3))
+    return metrics.modeled_savings(a, b).groupBy("meter_id").agg(r(F.sum("savings"), 4).alias("savings"), F.count("*").alias("n"))
+
+
+@query(f"WITH {DAILY} SELECT meter_id, (min(day) > DATE '1996-12-01')::INT AS gap_at_start, (max(day) < DATE '1998-12-31')::INT AS gap_at_end FROM daily GROUP BY 1")
+def gap_warnings(spark, d):
+    g = daily(spark, d).groupBy("meter_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    w = periods.gap_warnings("baseline", F.col("a"), F.col("b"), F.lit("1996-12-01").cast("date"), F.lit("1998-12-31").cast("date"))
+    g = g.withColumn("w", F.transform(w, lambda x: x["qualified_name"]))
+    return g.select("meter_id", F.exists("w", lambda x: x.endswith("start")).cast("int").alias("gap_at_start"), F.exists("w", lambda x: x.endswith("end")).cast("int").alias("gap_at_end"))
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT meter_id, CASE WHEN day IN (SELECT max(day) FROM daily) THEN 'last' ELSE 'rest' END AS part, observed FROM daily), u AS (SELECT meter_id, part, observed FROM s UNION ALL SELECT meter_id, 'all', observed FROM daily)
+SELECT meter_id, part, count(*) AS n, sum(observed) AS observed FROM u GROUP BY 1, 2""")
+def union_all(spark, d):
+    """Rows by part and all rows again."""
+    df = daily(spark, d)
+    last = df.agg(F.max("day").alias("day"))
+    rest, ends = df.join(last, "day", "left_anti").withColumn("part", F.lit("rest")), df.join(last, "day", "left_semi").withColumn("part", F.lit("last"))
+    out = rest.unionByName(ends, allowMissingColumns=True).unionByName(df.withColumn("part", F.lit("all")), allowMissingColumns=True)
+    return out.groupBy("meter_id", "part").agg(F.count("*").alias("n"), F.sum("observed").alias("observed"))
+
+
+@query(f"WITH {DAILY} SELECT meter_id, round(list_sort(list(temperature))[6], 6) AS low, round(list_reverse_sort(list(temperature))[6], 6) AS high FROM daily GROUP BY 1")
+def order_statistics(spark, d):
+    """Sixth smallest and sixth largest temperature, which bound the breakpoints."""
+    t = F.sort_array(F.collect_list("temperature"))
+    return daily(spark, d).groupBy("meter_id").agg(r(F.element_at(t, 6)).alias("low"), r(F.element_at(t, -6)).alias("high"))
+
+
+@query(f"""WITH {DAILY}, s AS (SELECT meter_id, CASE WHEN month(day) IN (11, 12, 1, 2) THEN 'wi' WHEN month(day) IN (6, 7, 8, 9) THEN 'su' ELSE 'sh' END AS se, isodow(day) >= 6 AS we, observed FROM daily)
+SELECT meter_id, 'wd-su_sh' AS block, count(*) AS n, sum(observed) AS observed FROM s WHERE se IN ('su', 'sh') AND NOT we GROUP BY 1 UNION ALL SELECT meter_id, 'we-wi', count(*), sum(observed) FROM s WHERE se = 'wi' AND we GROUP BY 1""")
+def block_rows(spark, d):
+    """Days of two blocks of a split, selected by its text."""
+    from meterloom.models.daily import DAYS, SEASON
+
+    out = None
+    for block in ("wd-su_sh", "we-wi"):
+        days, seasons = block.split("-")
+        part = daily(spark, d).where(cal.season("day").isin([SEASON[s] for s in seasons.split("_")]) & cal.day_type("day").isin(*DAYS[days]))
+        part = part.groupBy("meter_id").agg(F.count("*").alias("n"), F.sum("observed").alias("observed")).withColumn("block", F.lit(block))
+        out = part if out is None else out.unionByName(part)
+    return out.select("meter_id", "block", "n", "observed")
