@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import calendar as cal
 from meterloom.models.clustering import cluster_profiles
+from meterloom.models.robust import adaptive_weights
 
 
 @dataclass(frozen=True)
@@ -34,18 +35,20 @@ class HourlySettings:
     reclusters: int = 3
     pca_share: float = 0.725
     seed: int = 0
+    adaptive_passes: int = 0  # fits repeated with days weighed by their errors
+    adaptive_tol: float = 1e-3
     cvrmse_threshold: float = 1.4
     pnrmse_threshold: float = 2.2
 
 
-def elastic_net(x: np.ndarray, y: np.ndarray, s: HourlySettings) -> tuple[np.ndarray, np.ndarray]:
+def elastic_net(x: np.ndarray, y: np.ndarray, s: HourlySettings, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients by target, intercepts): cyclic coordinate descent on the Gram matrix for all targets at once.
 
     Minimises |y - xb|^2 / 2n + alpha l1 |b|_1 + alpha (1 - l1) |b|^2 / 2, means taken out first."""
-    n = len(x)
-    mx, my = x.mean(0), y.mean(0)
+    w = np.full(len(x), 1 / len(x)) if weights is None else weights / weights.sum()
+    mx, my = w @ x, w @ y
     xc, yc = x - mx, y - my
-    g, q = xc.T @ xc / n, xc.T @ yc / n
+    g, q = (xc * w[:, None]).T @ xc, (xc * w[:, None]).T @ yc
     b = np.zeros((x.shape[1], y.shape[1]))
     l1, l2 = s.alpha * s.l1_ratio, s.alpha * (1 - s.l1_ratio)
     norm = np.diag(g)
@@ -82,6 +85,27 @@ def temperature_edges(t: np.ndarray, s: HourlySettings) -> np.ndarray:
     return np.linspace(low, high, max(2, int(np.ceil((high - low) / s.bin_width)) + 1))
 
 
+def exponential_length(x: np.ndarray, y: np.ndarray) -> float:
+    """k of y = a + b exp(x / k), from the integral of y, which is linear in y and x."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    area = np.concatenate([[0.0], np.cumsum((y[1:] + y[:-1]) / 2 * np.diff(x))])
+    dx, dy = x - x[0], y - y[0]
+    a = np.array([[dx @ dx, dx @ area], [dx @ area, area @ area]])
+    if np.linalg.cond(a) > 1e12:
+        return np.inf
+    rate = np.linalg.solve(a, np.array([dx @ dy, area @ dy]))[1]
+    return float(1 / rate) if rate else np.inf
+
+
+def edge_rate(t: np.ndarray, v: np.ndarray, edges: list[float], most: float = 5.0) -> float:
+    """Mean length of the exponentials of use by temperature at each hour of day, those under `most`; else half of it."""
+    x = 2 * (t - edges[0]) / max(edges[-1] - edges[0], 1e-9) - 1
+    k = np.abs([exponential_length(x[:, h], v[:, h]) for h in range(24)])
+    k = k[(k < most) & (k > 0.05)]
+    return float(k.mean()) if len(k) else most / 2
+
+
 def day_rows(days: pd.DataFrame, state: dict) -> np.ndarray:
     """Features of days: values by term and hour, then indicators of cluster and of the first hour's bin."""
     t = (np.stack(days["t"]) - state["t_mean"]) / state["t_std"]
@@ -93,7 +117,7 @@ def day_rows(days: pd.DataFrame, state: dict) -> np.ndarray:
     parts = [t * (bins == i) for i in range(k)] + [t * (label == c)[:, None] for c in names]
     x = 2 * (raw - state["edges"][0]) / max(state["edges"][-1] - state["edges"][0], 1e-9) - 1
     for sign, at in ((1, k - 1), (-1, 0)):
-        parts.append(np.where(bins == at, np.expm1(np.clip(sign * x / 2.5, -20, 20)), 0.0))
+        parts.append(np.where(bins == at, np.expm1(np.clip(sign * x / state["rate"], -20, 20)), 0.0))
     if state["ghi"]:
         parts.append((np.stack(days["g"]) - state["g_mean"]) / state["g_std"])
     parts += [(label[:, None] == names).astype(float), (bins[:, :1] == np.arange(k)).astype(float)]
@@ -110,10 +134,18 @@ def fit_meter(days: pd.DataFrame, s: HourlySettings, ghi: bool) -> dict:
         g = np.stack(days["g"])
         state |= {"g_mean": float(g.mean()), "g_std": float(g.std()) or 1.0}
     state["labels"] = np.array(state["labels"])
+    state["rate"] = edge_rate(t, v, state["edges"])
     use = days[days["n_good"] >= s.min_daily_hours]
     x = day_rows(use, state)
     y = (np.stack(use["v"]) - state["v_mean"]) / state["v_std"]
     coef, intercept = elastic_net(x, y, s)
+    last = np.inf
+    for _ in range(s.adaptive_passes):
+        by_day = np.sqrt(((y - x @ coef.T - intercept) ** 2).mean(axis=1))
+        if (last - by_day.mean()) / max(by_day.mean(), 1e-12) < s.adaptive_tol:
+            break
+        last = by_day.mean()
+        coef, intercept = elastic_net(x, y, s, adaptive_weights(by_day)[0])
     p = (x @ coef.T + intercept) * state["v_std"] + state["v_mean"]
     resid = (np.stack(use["v"]) - p).ravel()
     n, k = resid.size, int((coef != 0).sum() + intercept.size)

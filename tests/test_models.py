@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterloom.models import filling, overlap
-from meterloom.models.hourly import HourlyModel
+from meterloom.models import hourly as hourly_module
+from meterloom.models.hourly import HourlyModel, HourlySettings
 from meterloom.models.segmented import DemandResponseModel, SegmentedModel, _edges, fit_segment
 from meterloom.operators import alignment, features, periods
 
@@ -33,6 +34,18 @@ def test_hourly_model(spark):
     assert m.fit(h.limit(0)).count() == 0
 
 
+def test_exponential_length_and_day_weights():
+    x = np.linspace(-1, 1, 200)
+    assert hourly_module.exponential_length(x, 3 + 2 * np.exp(x / 0.7)) == pytest.approx(0.7, rel=0.01)
+    rng = np.random.default_rng(0)
+    a, s = rng.normal(size=(100, 3)), HourlySettings(alpha=1e-4)
+    y = (a @ np.array([1.0, 2, 3]))[:, None] + 5
+    y[:5] += 50
+    w = np.r_[np.zeros(5), np.ones(95)]
+    b, c = hourly_module.elastic_net(a, y, s, w)
+    assert np.allclose(b[0], [1, 2, 3], atol=0.01) and c[0] == pytest.approx(5, abs=0.01)
+
+
 def test_segmented_model(spark):
     h, m = hourly(spark), SegmentedModel()
     params = m.fit(h)
