@@ -38,7 +38,7 @@ from meterloom.llm.components import components
 
 GROWTH = 1.5
 SKETCH = 8  # words of 64 bits
-PAIR_COST, AGREE = 1.0, 0.05
+PAIR_COST, AGREE = 2.0, 0.05
 
 
 def bands(limit: int) -> list[int]:
@@ -57,16 +57,16 @@ def most_different(n, p: int, q: int):
 def allocate(size: int, units: int, shared: float) -> tuple[int, int]:
     """(deletion segments, exact segments) that tolerate units - 1 differences at least cost.
 
-    The cost counts index entries, and candidates at PAIR_COST each (a candidate
-    is one more row beside its entry's pivot): `shared` sets hold a given
-    shingle, and each further shingle of a segment agrees with chance AGREE."""
+    The cost counts index entries, and candidates at PAIR_COST each. An entry is a candidate at most
+    once, beside its signature's pivot: `shared` sets hold a given shingle, and each further shingle
+    of a segment agrees with chance AGREE."""
     d = np.arange(units // 2 + 1)
     e = units - 2 * d
     d, e = d + d // 8 + (d > 0), e + e // 8 + 2 * (e > 0)  # spare ones in place of segments that stay empty
     g = size / (d + e)
-    chance = shared * AGREE ** np.maximum(g - 1, 0)
-    loose = shared * np.maximum(g, 1) * AGREE ** np.maximum(g - 2, 0)
-    cost = e * (1 + PAIR_COST * chance) + d * (g + 1 + PAIR_COST * loose)
+    chance = np.minimum(1, shared * AGREE ** np.maximum(g - 1, 0))
+    loose = np.minimum(1, shared * AGREE ** np.maximum(g - 2, 0))
+    cost = e * (1 + PAIR_COST * chance) + d * (g + 1) * (1 + PAIR_COST * loose)
     best = int(np.argmin(cost))
     return int(d[best]), int(e[best])
 
