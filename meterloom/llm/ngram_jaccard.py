@@ -17,7 +17,7 @@ entry; once verified links have joined nodes into components, only entries that
 several components are paired on: members outside an entry's main component with all members
 of other components. Pairs already in one component need no test, so no link between
 components is lost and groups of near copies do not give all their pairs. A parity sketch of
-512 bits bounds the difference from below and prunes exactly; what is left is verified on
+2,048 bits bounds the difference from below and prunes exactly; what is left is verified on
 whole texts.
 
 Sets are named by a 64-bit hash of their content.
@@ -37,7 +37,7 @@ from meterloom.llm.common import U64, as_buffers, blocks, cut, drop_cut, mix, mi
 from meterloom.llm.components import components
 
 GROWTH = 1.5
-SKETCH = 8  # words of 64 bits
+SKETCH = 32  # words of 64 bits
 PAIR_COST, AGREE = 2.0, 0.05
 
 
@@ -245,7 +245,7 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     stars_of = cut(entries.withColumn("route", route).repartition("route").drop("route").sortWithinPartitions("sig", "member").mapInArrow(stars, "sig long, pivot long, member long"))
 
     def side(name: str, key: str) -> DataFrame:
-        return nodes.select(F.col("set_id").alias(key), F.col("n").alias(f"{name}_n"), *(F.col(s).alias(f"{name}_{s}") for s in sketch))
+        return involved.select(F.col("set_id").alias(key), F.col("n").alias(f"{name}_n"), *(F.col(s).alias(f"{name}_{s}") for s in sketch))
 
     def pruned(pairs: DataFrame) -> DataFrame:
         return cut(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(_within(p, q)).select("a", "b"))
@@ -261,8 +261,9 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
         return x.select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b"))
 
     # All pairs of an entry's pivot and member that the sketch does not rule out.
-    near = cut(stars_of.groupBy("pivot", "member").agg(F.count("*").alias("c")))
-    pairs = pruned(named(near).distinct())
+    near = cut(named(stars_of).distinct())
+    involved = cut(nodes.join(near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct(), "set_id", "left_semi"))
+    pairs = pruned(near)
     needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id")
 
     def fetch(ids: DataFrame) -> DataFrame:
