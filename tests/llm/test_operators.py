@@ -340,6 +340,40 @@ def test_pitman_yor_sums_to_one(spark, texts):
         assert m.predict(keys, np.array([pairs.get(int(x), 0) for x in keys])).sum() == pytest.approx(1.0)
 
 
+def test_pitman_yor_whole_model_sums_to_one(spark, texts):
+    df = frame(spark, texts)
+    packed = common.cut(df.mapInArrow(pitman_yor.pack, "block long, ids binary, present binary, sizes binary, payload binary"))
+    m, by_word, by_pair = pitman_yor.fit_all(packed, 7, 2)
+    words = {r.key: r for r in by_word.collect()}  # the same in all blocks
+    pairs = {r.key: r.total for r in by_pair.collect()}
+    keys = np.array(list(words), np.int64)
+    x = np.array([words[int(k)].x for k in keys])
+    assert len(keys) == m.v and sum(pairs.values()) == m.n == sum(r.total for r in words.values())
+    dish, customers = np.append(keys, 12345).view(np.uint64), np.vstack([x[:, 4:], np.zeros(4)])  # and the unknown word
+    for c in (0, 1, len(keys) - 1, list(keys.view(np.uint64)).index(pitman_yor.END)):
+        k = pitman_yor.pair_key(np.full(len(dish), keys[c]).view(np.uint64), dish)
+        count = np.array([pairs.get(int(i), 0) for i in k.view(np.int64)])
+        assert count.sum() == words[keys[c]].total
+        assert m.predict(k, count, np.full(len(k), words[keys[c]].total), np.repeat(x[c, :4, None], len(k), 1), customers.T).sum() == pytest.approx(1.0)
+
+
+def test_pitman_yor_rare_words_have_contexts(spark):
+    """A pair of words far under 2e-5 of all tokens tells on the second one, as in a frequent context."""
+    rng = random.Random(3)
+    common_words = [f"w{i}" for i in range(50)]
+    texts = [prose(rng, 1000, common_words) for _ in range(700)]
+    for i in range(8):
+        texts[i] += " quixo zantar"
+        texts[i + 8] += " brevo lumint"
+    asked = ["quixo zantar", "quixo lumint"]
+    ids = [i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    trained = [i for i in range(9_000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    df = spark.createDataFrame([*zip(trained, texts), *zip(ids, asked)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pitman_yor.score_texts(df).where(F.col("doc_id") >= 10_000).collect()}
+    assert out[ids[0]].train_tokens * 2e-5 > 8 and out[ids[0]].base_score == pytest.approx(out[ids[1]].base_score)
+    assert out[ids[0]].score > out[ids[1]].score + 1
+
+
 def test_seats_follow_the_restaurant():
     rng, d, a, n = np.random.default_rng(0), 0.6, 0.8, 12
     want = []
