@@ -8,8 +8,10 @@ classes on enough of the host's pages are valid, and a token whose parent isn't
 is dropped, so valid classes nest. What they make up is the template; between its tokens are
 slots. A page's main slot is its article or main element or, on pages without one, the innermost
 element of the template that holds most of the text that isn't the template's or a link's.
-Elements of a slot that are menus, notices, adverts, forms, comments and the like by name are
-left out.
+Blocks of the main slot whose text is all the template's are left out, and so are elements of a
+slot that are menus, notices, adverts, forms, comments and the like by name. A block that mixes
+both stays whole, and so does a slot with nothing but the template's text: pages that are copies
+of each other look like that.
 
 Pages of hosts with few pages have no template; there all elements can be slots.
 """
@@ -168,8 +170,8 @@ def main_text(page: str, template: set[int]) -> str:
         if e.dropped:
             continue
         text = html.unescape(event[2])
-        runs.append((e, text, event[3]))
         static = _path(e.path, "=" + event[2]) in template
+        runs.append((e, text, event[3], static))
         linked, up = False, e
         while up is not None:
             linked |= up.tag == "a"
@@ -189,13 +191,18 @@ def main_text(page: str, template: set[int]) -> str:
             return ""
         most = [e for e, n in parts.items() if n >= 0.8 * total and e.tag not in ("p", "li", "td", "h1", "h2", "h3", "h4", "blockquote")]
         main = {max(most, key=lambda e: (not MAIN_NAMES.isdisjoint(e.names), e.order))} if most else {max(parts, key=lambda e: (parts[e], -e.order))}
-    blocks, last = [], None
-    for e, text, block in runs:
+    slot = []
+    for e, text, block, static in runs:
         up = e
         while up is not None and up not in main:
             up = up.parent
-        if up is None:
-            continue
+        if up is not None:
+            slot.append((text, block, static))
+    own = {block for text, block, static in slot if text.strip() and not static}
+    if own:
+        slot = [x for x in slot if x[1] in own]
+    blocks, last = [], None
+    for text, block, _ in slot:
         if block != last:
             blocks.append([])
             last = block

@@ -281,6 +281,20 @@ def test_main_text(spark):
     assert html_template.extract_main(df.limit(0)).count() == 0
 
 
+def test_template_text_leaves_the_slot(spark):
+    note = "<div class=x7>Follow us every day</div>"
+    pages = [(i, f"http://a/{i}", f"<html><body><article><h1>T{i}</h1><p>one {i}</p>{note}<p>two {i}</p></article></body></html>") for i in range(6)]
+    pages += [(i, f"http://m/{i}", f"<html><body><main><p>one {i}</p>{note}</main></body></html>") for i in range(10, 16)]
+    pages += [(i, f"http://d/{i}", f"<html><body><div class=w><p>one {i}</p>{note}<p>two {i}</p></div></body></html>") for i in range(20, 26)]
+    pages += [(i, f"http://copies/{i}", f"<html><body><article><p>all of it</p>{note}</article></body></html>") for i in range(30, 36)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_template.extract_main(df).collect()}
+    assert [out[i] for i in range(6)] == [f"T{i}\none {i}\ntwo {i}" for i in range(6)]
+    assert [out[i] for i in range(10, 16)] == [f"one {i}" for i in range(10, 16)]
+    assert [out[i] for i in range(20, 26)] == [f"one {i}\ntwo {i}" for i in range(20, 26)]
+    assert {out[i] for i in range(30, 36)} == {"all of it\nFollow us every day"}  # copies stay whole
+
+
 def test_template_tokens_nest(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", page("Same", [f"p{i}"])) for i in range(6)], "page_id long, url string, html string")
     found = {r.host: set(r.template) for r in html_template.templates(pages).collect()}
