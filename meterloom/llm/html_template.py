@@ -123,7 +123,7 @@ def occurrences(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Itera
                 e = event[1]
                 if event[0] == "open":
                     count[e.path, e.parent.path if e.parent else 0] += 1
-                elif len(event[2]) < 400 and not event[2].isspace():
+                elif not event[2].isspace():
                     count[_path(e.path, "=" + event[2]), e.path] += 1
             for (token, parent), n in count.items():
                 v = sums.setdefault((host, token, parent), [0, 0])

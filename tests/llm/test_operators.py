@@ -295,6 +295,14 @@ def test_template_text_leaves_the_slot(spark):
     assert {out[i] for i in range(30, 36)} == {"all of it\nFollow us every day"}  # copies stay whole
 
 
+def test_long_text_can_be_template(spark):
+    legal = "All rights are reserved. " * 24
+    body = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(6)]
+    pages = [(i, f"http://a/{i}", f"<html><body><div class=q1><p>{body[i]}</p></div><div class=q2>{legal}</div></body></html>") for i in range(6)]
+    out = html_template.extract_main(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(legal) == 600 and {r.page_id: r.text for r in out} == dict(enumerate(body))
+
+
 def test_template_tokens_nest(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", page("Same", [f"p{i}"])) for i in range(6)], "page_id long, url string, html string")
     found = {r.host: set(r.template) for r in html_template.templates(pages).collect()}
