@@ -1,8 +1,9 @@
 """Hourly model: an elastic net from a day's temperatures to its 24 hours of use, for each meter.
 
 A day's features are its 24 standardised temperatures (and irradiance, if there is any) within
-temperature bins and within clusters of month and weekday whose mean profiles are alike, and
-what bin and cluster the day is in. The fit of one meter, a year of days, runs in Python.
+temperature bins and within clusters of month and weekday whose mean profiles are alike, what
+bin and cluster the day is in, and columns that the settings name: series with 24 standardised
+values, categories with the number at the day's first hour. The fit of one meter, a year of days, runs in Python.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meterloom.functions import calendar as cal
 from meterloom.models.clustering import cluster_profiles
@@ -39,6 +41,26 @@ class HourlySettings:
     adaptive_tol: float = 1e-3
     cvrmse_threshold: float = 1.4
     pnrmse_threshold: float = 2.2
+    scaler: str = "standard"  # or "robust": median and interquartile range
+    extra_series: tuple[str, ...] = ()  # more columns by hour, such as has_pv; those that aren't there are passed over
+    extra_categories: tuple[str, ...] = ()  # more numeric columns by day
+
+
+def scale_of(x: np.ndarray, s: HourlySettings) -> tuple[float, float]:
+    """(centre, scale) of all values."""
+    if s.scaler == "standard":
+        return float(x.mean()), float(x.std()) or 1.0
+    if s.scaler != "robust":
+        raise ValueError(f"no scaler {s.scaler!r}")
+    low, middle, high = np.quantile(x, [0.25, 0.5, 0.75])
+    return float(middle), float(high - low) or 1.0
+
+
+def add_has_pv(hours: DataFrame, pv_start=None, key: str = "meter_id") -> DataFrame:
+    """hours with has_pv: 1 from the date pv_start on (a date or a column), by default the meter's first."""
+    day = F.to_date("ts")
+    start = F.min(day).over(Window.partitionBy(key)) if pv_start is None else pv_start if isinstance(pv_start, Column) else F.lit(pv_start).cast("date")
+    return hours.withColumn("has_pv", F.when(day >= start, 1.0).otherwise(0.0))
 
 
 def elastic_net(x: np.ndarray, y: np.ndarray, s: HourlySettings, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +142,24 @@ def day_rows(days: pd.DataFrame, state: dict) -> np.ndarray:
         parts.append(np.where(bins == at, np.expm1(np.clip(sign * x / state["rate"], -20, 20)), 0.0))
     if state["ghi"]:
         parts.append((np.stack(days["g"]) - state["g_mean"]) / state["g_std"])
+    for c, (mean, std) in state["series"].items():
+        parts.append((np.stack(days[f"x_{c}"]) - mean) / std)
+    parts += [days[f"c_{c}"].to_numpy(float)[:, None] for c in state["categories"]]
     parts += [(label[:, None] == names).astype(float), (bins[:, :1] == np.arange(k)).astype(float)]
     return np.column_stack(parts)
 
 
 def fit_meter(days: pd.DataFrame, s: HourlySettings, ghi: bool) -> dict:
-    """days: t, v (and g) with 24 values each, month, dow, and n_good, the hours that weren't filled."""
+    """days: t, v (and g, x_...) with 24 values each, c_..., month, dow, and n_good, the hours that weren't filled."""
     groups = days.groupby(["month", "dow"])["v"].apply(lambda v: np.stack(v).mean(0))
     label = cluster_profiles(np.stack(groups.to_numpy()), 2, s.clusters, s.reclusters, s.pca_share, 2, s.seed)
     t, v = np.stack(days["t"]), np.stack(days["v"])
-    state = {"clusters": {f"{m}-{d}": int(c) for (m, d), c in zip(groups.index, label)}, "labels": np.unique(label).tolist(), "edges": temperature_edges(t.ravel(), s).tolist(), "t_mean": float(t.mean()), "t_std": float(t.std()) or 1.0, "v_mean": float(v.mean()), "v_std": float(v.std()) or 1.0, "ghi": ghi}
+    state = {"clusters": {f"{m}-{d}": int(c) for (m, d), c in zip(groups.index, label)}, "profiles": {f"{m}-{d}": p.tolist() for (m, d), p in groups.items()}, "labels": np.unique(label).tolist(), "edges": temperature_edges(t.ravel(), s).tolist(), "ghi": ghi}
+    state |= dict(zip(("t_mean", "t_std", "v_mean", "v_std"), (*scale_of(t, s), *scale_of(v, s))))
     if ghi:
-        g = np.stack(days["g"])
-        state |= {"g_mean": float(g.mean()), "g_std": float(g.std()) or 1.0}
+        state |= dict(zip(("g_mean", "g_std"), scale_of(np.stack(days["g"]), s)))
+    state["series"] = {c: scale_of(np.stack(days[f"x_{c}"]), s) for c in s.extra_series if f"x_{c}" in days}
+    state["categories"] = [c for c in s.extra_categories if f"c_{c}" in days]
     state["labels"] = np.array(state["labels"])
     state["rate"] = edge_rate(t, v, state["edges"])
     use = days[days["n_good"] >= s.min_daily_hours]
@@ -155,13 +182,31 @@ def fit_meter(days: pd.DataFrame, s: HourlySettings, ghi: bool) -> dict:
     return state
 
 
+def all_clusters(days: pd.DataFrame, state: dict) -> dict[str, int]:
+    """Clusters by month and weekday, those of days that the fit lacked among them.
+
+    These take the cluster of the nearest mean profile of the known ones among days, or if there are none
+    of the fit's; without use (v) they take a neighbouring month's cluster."""
+    known = dict(state["clusters"])
+    name = days["month"].astype(str) + "-" + days["dow"].astype(str)
+    missing = sorted(set(name) - set(known))
+    if missing and "v" in days:
+        v = np.stack(days["v"]).astype(float)
+        whole = ~np.isnan(v).any(axis=1)
+        profiles = {k: v[whole & (name == k).to_numpy()].mean(axis=0) for k in sorted(set(name[whole]))}
+        near = {k: p for k, p in profiles.items() if k in known} or {k: np.array(p) for k, p in state["profiles"].items()}
+        for k in set(missing) & set(profiles):
+            known[k] = known[min(near, key=lambda x: (float(((near[x] - profiles[k]) ** 2).sum()), x))]
+    for k in missing:
+        if k not in known:
+            m, d = map(int, k.split("-"))
+            known[k] = known[min(state["clusters"], key=lambda x: (int(x.split("-")[1]) != d, min((int(x.split("-")[0]) - m) % 12, (m - int(x.split("-")[0])) % 12), x))]
+    return known
+
+
 def predict_meter(days: pd.DataFrame, state: dict) -> np.ndarray:
-    """24 values a day. A month and weekday that the fit lacked takes a neighbouring month's cluster."""
-    known = state["clusters"]
-    for m, d in set(zip(days["month"], days["dow"])):
-        if f"{m}-{d}" not in known:
-            near = sorted(known, key=lambda x: (int(x.split("-")[1]) != d, min((int(x.split("-")[0]) - m) % 12, (m - int(x.split("-")[0])) % 12), x))
-            known[f"{m}-{d}"] = known[near[0]]
+    """24 values a day."""
+    state = state | {"clusters": all_clusters(days, state)}
     state = state | {"labels": np.array(state["labels"]), "edges": np.array(state["edges"])}
     return (day_rows(days, state) @ np.array(state["coef"]).T + np.array(state["intercept"])) * state["v_std"] + state["v_mean"]
 
@@ -182,8 +227,12 @@ class HourlyModel:
         for c in flags:
             good = good & ~F.coalesce(F.col(c), F.lit(False))
         values = ["temperature", *(["observed"] if "observed" in hours.columns else []), *(["ghi"] if ghi else [])]
-        h = hours.groupBy(key, F.to_date("ts").alias("day"), F.hour("ts").alias("_h")).agg(*(F.avg(c).alias(c) for c in values), F.min(good.cast("int")).alias("_good"))
-        d = h.groupBy(key, "day").agg(*(vector(c) for c in values), F.sum(F.when(F.col(values[-1]).isNotNull() & (F.col("_good") == 1), 1).otherwise(0)).alias("n_good"), F.count("temperature").alias("_n"))
+        counted = values[-1]
+        series, categories = ([c for c in wanted if c in hours.columns] for wanted in (self.settings.extra_series, self.settings.extra_categories))
+        values += [c for c in series if c not in values]
+        firsts = [F.min_by(F.col(c).cast("double"), F.when(F.col(c).isNotNull(), F.col("_h"))).alias(f"c_{c}") for c in categories]
+        h = hours.groupBy(key, F.to_date("ts").alias("day"), F.hour("ts").alias("_h")).agg(*(F.avg(c).alias(c) for c in dict.fromkeys([*values, *categories])), F.min(good.cast("int")).alias("_good"))
+        d = h.groupBy(key, "day").agg(*(vector(c) for c in values), F.sum(F.when(F.col(counted).isNotNull() & (F.col("_good") == 1), 1).otherwise(0)).alias("n_good"), F.count("temperature").alias("_n"), *firsts)
         every = F.sequence(F.lit(0), F.lit(23))
 
         def full(c: str):
@@ -192,10 +241,14 @@ class HourlyModel:
             return F.transform(at, lambda x: x)
 
         names = {"temperature": "t", "observed": "v", "ghi": "g"}
-        return d.select(key, "day", F.month("day").alias("month"), cal.weekday("day").alias("dow"), "n_good", *(full(c).alias(names[c]) for c in values))
+        out = d.select(key, "day", F.month("day").alias("month"), cal.weekday("day").alias("dow"), "n_good", *(full(c).alias(names.get(c, f"x_{c}")) for c in values), *(f"c_{c}" for c in categories))
+        for c in out.columns:
+            if c.startswith(("x_", "c_")):
+                out = out.where(~F.exists(c, lambda x: x.isNull()) if c.startswith("x_") else F.col(c).isNotNull())
+        return out
 
     def fit(self, hours: DataFrame, key: str = "meter_id") -> DataFrame:
-        """hours: key, ts, temperature, observed (and ghi, interpolated_*), one row an hour. Days with a gap left are
+        """hours: key, ts, temperature, observed (and ghi, interpolated_*, the settings' extra columns), one row an hour. Days with a gap left are
         not used; a meter without days has no row. ok tells whether the errors are under a threshold."""
         s, ghi = self.settings, "ghi" in hours.columns
         days = self._days(hours, key, ghi)
@@ -213,9 +266,10 @@ class HourlyModel:
         return days.groupBy(key).applyInPandas(one, f"{key} {kind}, model string, cvrmse_adj double, pnrmse_adj double, ok boolean")
 
     def predict(self, models: DataFrame, hours: DataFrame, key: str = "meter_id") -> DataFrame:
-        """hours with predicted. Both hours of a repeated one have its value; days with a temperature missing have none."""
+        """hours with predicted. Both hours of a repeated one have its value; days with a temperature (or a value
+        of an extra column) missing have none. observed, if there, is only used for months and weekdays that the fit lacked."""
         ghi = "ghi" in hours.columns
-        days = self._days(hours.drop("observed"), key, ghi).where(~F.exists("t", lambda x: x.isNull()))
+        days = self._days(hours, key, ghi).where(~F.exists("t", lambda x: x.isNull()))
         kind = hours.schema[key].dataType.simpleString()
 
         def one(group: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,37 @@ def test_hourly_model(spark):
     assert m.fit(h.limit(0)).count() == 0
 
 
+def test_hourly_extra_columns(spark):
+    h = hourly_module.add_has_pv(hourly(spark), dt.date(2021, 3, 1)).withColumn("visit", (F.dayofyear("ts") % 3 == 0).cast("int"))
+    assert {r.has_pv for r in h.where("ts < '2021-03-01'").collect()} == {0.0} and {r.has_pv for r in hourly_module.add_has_pv(h).collect()} == {1.0}
+    h = h.withColumn("observed", F.col("observed") - 3 * F.col("has_pv") + 2 * F.col("visit"))
+
+    def error(**more):
+        m = HourlyModel(HourlySettings(**more))
+        e = m.predict(m.fit(h), h).agg(F.sqrt(F.avg((F.col("predicted") - F.col("observed")) ** 2)), F.count("predicted")).first()
+        assert e[1] == 120 * 24
+        return e[0]
+
+    plain, pv, both = error(), error(extra_series=("has_pv", "absent")), error(extra_series=("has_pv",), extra_categories=("visit",))
+    assert pv < plain - 0.01 and both < 0.8 * pv
+    assert error(extra_series=("has_pv",), extra_categories=("visit",), scaler="robust") < 0.8 * pv
+
+
+def test_hourly_scalers():
+    x = np.array([0.0, 1, 2, 3, 100])
+    assert hourly_module.scale_of(x, HourlySettings(scaler="robust")) == (2.0, 2.0)
+    assert hourly_module.scale_of(x, HourlySettings()) == pytest.approx((x.mean(), x.std()))
+
+
+def test_hourly_nearest_profile():
+    low, high = np.full(24, 1.0), np.full(24, 9.0)
+    state = {"clusters": {"1-0": 0, "1-5": 1}, "profiles": {"1-0": low.tolist(), "1-5": high.tolist()}}
+    days = pd.DataFrame({"month": [1, 1, 7, 7], "dow": [0, 5, 0, 5], "v": [low, high, high - 1, low + 1]})
+    assert hourly_module.all_clusters(days, state) == {"1-0": 0, "1-5": 1, "7-0": 1, "7-5": 0}
+    assert hourly_module.all_clusters(days[2:], state) == {"1-0": 0, "1-5": 1, "7-0": 1, "7-5": 0}
+    assert hourly_module.all_clusters(days.drop(columns="v"), state) == {"1-0": 0, "1-5": 1, "7-0": 0, "7-5": 1}
+
+
 def test_exponential_length_and_day_weights():
     x = np.linspace(-1, 1, 200)
     assert hourly_module.exponential_length(x, 3 + 2 * np.exp(x / 0.7)) == pytest.approx(0.7, rel=0.01)
