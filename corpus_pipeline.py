@@ -32,13 +32,22 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id, and one row of it."""
-    classes = join_classes(docs, k=5, p=80, q=100).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi").select(docs.columns)
-    once = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single = kept.join(once, "doc_id", "left_anti")
-    again = kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(again).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies stays: that with the smallest doc_id, then hash of its text; a null doc_id comes last.
+
+    Texts without words are near copies of nothing; of those with the same doc_id and text one row stays."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        kept = join_classes(docs, k=5, p=80, q=100).where("doc_id = component_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    # Ids don't tell rows apart: the join is by row.
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    classes = join_classes(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, p=80, q=100).withColumnRenamed("doc_id", "_row")
+    named = rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")).join(classes, "_row")
+    copies, alone = F.col("n_shingles") > 0, (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = F.struct(F.when(copies, F.col("component_id")).when(~alone, F.col("_row")), F.when(alone, F.col("doc_id")), F.when(alone, F.col("_hash")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row"))
+    kept = named.groupBy(group.alias("g")).agg(first.alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

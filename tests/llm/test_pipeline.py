@@ -27,6 +27,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id or -1 for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [-1, 1, 3]
 
 
+def test_near_copies_with_odd_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, b), (3, a), (2, c), (None, d), (None, d), (None, c), (4, ""), (4, ""), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for x in (docs, docs.repartition(5)):
+        out = corpus_pipeline.drop_near_copies(spark, x, "")
+        assert out.columns == docs.columns
+        assert sorted(((r.doc_id or 0, r.text or "") for r in out.collect())) == [(0, ""), (0, d), (1, a), (1, b), (2, c), (4, ""), (5, "")]
+
+
 def test_rejected_language(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "the water and stone", "en", "s", 1) for i in range(20)] + [(30, "123 !!", "en", "s", 1), (31, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").collect()} == set(range(20))
