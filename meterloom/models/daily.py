@@ -21,6 +21,7 @@ from meterloom.functions import scalar
 from meterloom.functions.stats import interval_factor
 from meterloom.models.overlap import separate_seasons
 from meterloom.models.robust import adaptive_weights
+from meterloom.operators.cleaning import dealt
 
 DAYS = {"fw": ("weekday", "weekend"), "wd": ("weekday",), "we": ("weekend",)}
 SEASON = {"su": "summer", "sh": "shoulder", "wi": "winter"}
@@ -106,30 +107,7 @@ def response(t: np.ndarray, f: Fit) -> np.ndarray:
     return np.where(heat, arm(hb, -hs, hk), np.where(cool, arm(cb, cs, -ck), f.intercept))
 
 
-def _solve(h: np.ndarray, c: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float, float]:
-    """(sse, heating slope, cooling slope, intercept) of weighted least squares with slopes not below 0."""
-    best = None
-    total = w.sum()
-    for use in ((1, 1), (1, 0), (0, 1), (0, 0)):
-        cols = [x for x, on in zip((h, c), use) if on and np.ptp(x) > 0]
-        if len(cols) < sum(use):
-            continue
-        x = np.column_stack([np.ones(len(y)), *cols])
-        sw = np.sqrt(w)
-        beta, *_ = np.linalg.lstsq(x * sw[:, None], y * sw, rcond=None)
-        if (beta[1:] < 0).any():
-            continue
-        sse = float((w * (y - x @ beta) ** 2).sum())
-        slopes = iter(beta[1:])
-        hs, cs = (float(next(slopes)) if on else 0.0 for on in use)
-        if best is None or sse < best[0] - 1e-12 * total:
-            best = sse, hs, cs, float(beta[0])
-        if use == (1, 1):
-            break
-    return best
-
-
-def _arm_columns(t: np.ndarray, hb: float, cb: float, hk: float, ck: float) -> tuple[np.ndarray, np.ndarray]:
+def _arm_columns(t: np.ndarray, hb, cb, hk: float, ck: float) -> tuple[np.ndarray, np.ndarray]:
     h = np.where(t < hb, hb - t + (abs(hk) * np.expm1(np.clip((t - hb) / hk, -709, 709)) if hk else 0), 0.0)
     c = np.where(t > cb, t - cb + (abs(ck) * np.expm1(np.clip((cb - t) / ck, -709, 709)) if ck else 0), 0.0)
     return h, c
@@ -140,29 +118,57 @@ def _search(t: np.ndarray, y: np.ndarray, w: np.ndarray, s: Settings, smooth: bo
     order = np.sort(t)
     n = len(t)
     low, high = order[min(s.segment_minimum - 1, n - 1)], order[max(n - s.segment_minimum, 0)]
-    span, spread = max(np.ptp(t), 1e-9), np.std(t) / max(np.std(y), 1e-9)
-
-    def cost(hb: float, cb: float, hk: float = 0.0, ck: float = 0.0):
-        h, c = _arm_columns(t, hb, cb, hk, ck)
-        sse, hs, cs, b0 = _solve(h, c, y, w)
-        root = np.sqrt(sse / len(y))
-        shrink = (hs + cs) * spread + (root * min(hb - t.min(), t.max() - hb) / span if hs else 0) + (root * min(cb - t.min(), t.max() - cb) / span if cs else 0)
-        return sse / len(y) + s.penalty * shrink, sse, hs, cs, b0
+    span, spread, total = max(np.ptp(t), 1e-9), np.std(t) / max(np.std(y), 1e-9), w.sum()
+
+    def costs(hb: np.ndarray, cb: np.ndarray, hk: float = 0.0, ck: float = 0.0) -> np.ndarray:
+        """(cost, sse, heating slope, cooling slope, intercept) of each pair of breakpoints, slopes not below 0.
+
+        All pairs come from one product: the moments of the arms, which are as many as breakpoints, not pairs."""
+        h, _ = _arm_columns(t[:, None], hb, np.inf, hk, 0.0)
+        _, c = _arm_columns(t[:, None], -np.inf, cb, 0.0, ck)
+        arms = np.column_stack([h, c, y])
+        mean = w @ arms / total
+        arms = arms - mean
+        m = arms.T @ (arms * w[:, None])
+        i, j = len(hb), len(cb)
+        shh, scc, shc = np.diag(m)[:i, None], np.diag(m)[None, i : i + j], m[:i, i : i + j]
+        shy, scy, syy = m[:i, -1:], m[None, i : i + j, -1], m[-1, -1]
+        has_h, has_c = shh > 1e-9 * total, scc > 1e-9 * total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            det = shh * scc - shc * shc
+            bh, bc = (shy * scc - scy * shc) / det, (scy * shh - shy * shc) / det
+            both = has_h & has_c & (det > 1e-10 * shh * scc) & (bh >= 0) & (bc >= 0)
+            one_h, one_c = np.where(has_h & (shy > 0), shy / shh, 0.0), np.where(has_c & (scy > 0), scy / scc, 0.0)
+        gain_h, gain_c = np.broadcast_arrays(one_h * shy, one_c * scy)
+        heat = ~both & (gain_h >= gain_c)
+        hs = np.where(both, bh, np.where(heat, one_h, 0.0))
+        cs = np.where(both, bc, np.where(~both & ~heat, one_c, 0.0))
+        sse = np.maximum(syy - hs * shy - cs * scy, 0.0)
+        root = np.sqrt(sse / n)
+        near = [np.minimum(x - t.min(), t.max() - x) / span for x in (hb[:, None], cb[None, :])]
+        shrink = (hs + cs) * spread + np.where(hs > 0, root * near[0], 0.0) + np.where(cs > 0, root * near[1], 0.0)
+        return np.stack([sse / n + s.penalty * shrink, sse, hs, cs, mean[-1] - hs * mean[:i, None] - cs * mean[None, i : i + j]])
+
+    def cost(hb: float, cb: float, hk: float = 0.0, ck: float = 0.0) -> list[float]:
+        return costs(np.array([hb]), np.array([cb]), hk, ck)[:, 0, 0].tolist()
+
+    def least(hb: np.ndarray, cb: np.ndarray) -> tuple[float, float, float]:
+        value = np.where(hb[:, None] <= cb[None, :], costs(hb, cb)[0], np.inf)
+        i, j = np.unravel_index(int(value.argmin()), value.shape)
+        return float(value[i, j]), float(hb[i]), float(cb[j])
 
     if n < 2 * s.segment_minimum or high <= low:
         b0 = float(np.average(y, weights=w))
         return Fit("tidd", intercept=b0, t_min=float(t.min()), t_max=float(t.max()))
     grid = np.linspace(low, high, 13)
-    best = min(((cost(a, b)[0], a, b) for i, a in enumerate(grid) for b in grid[i:]), key=lambda x: x[0])
+    best = least(grid, grid)
     step = (high - low) / 12
     for _ in range(6):
         step /= 2
-        _, a0, b0 = best
-        for a, b in itertools.product((a0 - step, a0, a0 + step), (b0 - step, b0, b0 + step)):
-            if low <= a <= b <= high:
-                value = cost(a, b)[0]
-                if value < best[0] - 1e-12:
-                    best = (value, a, b)
+        around = [np.clip([x - step, x, x + step], low, high) for x in best[1:]]
+        found = least(*around)
+        if found[0] < best[0] - 1e-12:
+            best = found
     _, hb, cb = best
     value, sse, hs, cs, b0 = cost(hb, cb)
     hk = ck = 0.0
@@ -200,7 +206,6 @@ def fit_block(t: np.ndarray, y: np.ndarray, s: Settings, w: np.ndarray | None =
             f = _search(t, y, base * robust, s, s.smooth)
     f.resid = y - response(t, f)
     f.n, f.wsse = len(y), float((base * robust * f.resid**2).sum())
-    f.f_unc = uncertainty(f.resid, f.coefficients, s.alpha)
     return f
 
 
@@ -258,7 +263,8 @@ def choose(t: np.ndarray, y: np.ndarray, season: np.ndarray, day_type: np.ndarra
     for part in best.split("__"):
         mask = block_mask(part, season, day_type)
         if part in fits:
-            out[part] = fits[part] if s.final_shape == 2 else fit_block(t[mask], y[mask], s, shape=s.final_shape)
+            out[part] = f = fits[part] if s.final_shape == 2 else fit_block(t[mask], y[mask], s, shape=s.final_shape)
+            f.f_unc = uncertainty(f.resid, f.coefficients, s.alpha)
     return best, out
 
 
@@ -288,7 +294,7 @@ class DailyModel:
                 out = [(pdf[key].iloc[0], split, p, *(getattr(f, c) for c in names[2:])) for p, f in fits.items()]
             return pd.DataFrame(out, columns=[key, *names])
 
-        return rows.groupBy(key).applyInPandas(one, f"{key} {kind}, {PARAMS}")
+        return dealt(rows, key).groupBy(key).applyInPandas(one, f"{key} {kind}, {PARAMS}")
 
     def predict(self, params: DataFrame, days: DataFrame, key: str = "meter_id") -> DataFrame:
         """days with predicted, predicted_unc, heating_load, cooling_load, block and kind; days that no block covers have nulls."""

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterloom.operators.cleaning import dealt
 from meterloom.operators.resample import fill_ends, interpolate
 
 
@@ -47,11 +48,14 @@ def fill_by_lags(x: np.ndarray, lags: int, most: int | None = None) -> np.ndarra
     missing = int((~np.isfinite(x)).sum())
     if not missing or not lags:
         return x
-    n = most or max(6, int(round((4.012 * np.log(missing) + 24.38) / 2)) * 2)
+    if missing == len(x):
+        return x
+    # How many lags a share of missing hours asks for, an even number.
+    n = most or max(6, int(np.round((4.012 * np.log(missing / len(x)) + 24.38) / 2)) * 2)
     r = autocorrelation(x, lags)
     both = np.concatenate([np.arange(1, lags + 1), -np.arange(1, lags + 1)])
     picked = both[np.argsort(-np.concatenate([r, r]), kind="stable")[:n]]
-    for need in np.unique(np.linspace(len(picked), 1, 10).round().astype(int))[::-1]:
+    for need in np.linspace(len(picked), 1, 10).astype(int):
         hole = ~np.isfinite(x)
         if not hole.any():
             break
@@ -71,7 +75,7 @@ def fill(df: DataFrame, value: str, key: str = "meter_id", ts: str = "ts", obser
         x = pdf[value].to_numpy(float)
         return pd.DataFrame({key: group[0], ts: pdf[ts], "_was": ~np.isfinite(x), "_x": fill_by_lags(x, lags_for(len(x)), None if observed else 6)})
 
-    got = df.select(key, ts, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(one, f"{key} {kind}, {ts} {df.schema[ts].dataType.simpleString()}, _was boolean, _x double")
+    got = df.select(key, ts, F.col(value).cast("double").alias(value)).transform(dealt, key).groupBy(key).applyInPandas(one, f"{key} {kind}, {ts} {df.schema[ts].dataType.simpleString()}, _was boolean, _x double")
     got = got.withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
     got = fill_ends(interpolate(got, "_x", (key,), ts).drop("interpolated"), "_x", (key,), ts)
     got = got.withColumn(f"interpolated_{value}", F.col("_was") & F.col("_x").isNotNull()).withColumnRenamed("_x", value).drop("_was")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from meterloom.functions import calendar as cal
 from meterloom.functions.stats import t_quantile
 from meterloom.operators import features
+from meterloom.operators.cleaning import dealt
 
 ROW = "segment string, hours array<int>, levels array<double>, occupied_edges array<double>, empty_edges array<double>, occupied_slopes array<double>, empty_slopes array<double>, occupied_hours array<int>, n long, parameters int, mse double, mean_observed double, n_prime double"
 
@@ -63,12 +64,23 @@ def fit_segment(hour: np.ndarray, t: np.ndarray, v: np.ndarray, w: np.ndarray, s
     oe, ee = _edges(t[on], least), _edges(t[~on], least)
     po, pe = _parts(t, oe) * on[:, None], _parts(t, ee) * ~on[:, None]
     seen = np.unique(hour)
-    x = np.column_stack([hour[:, None] == seen, po, pe]).astype(float)
+    # Levels are means of what the slopes leave, so they are taken out first (weighted by hour of week)
+    # and only the slopes, at most 14, are solved for.
+    slopes = np.column_stack([po, pe])
+    mass = np.bincount(hour, w, 168)
+
+    def centred(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = np.bincount(hour, w * c, 168) / np.where(mass > 0, mass, 1)
+        return c - mean[hour], mean
+
+    inner, means = (np.stack(a) for a in zip(*(centred(c) for c in slopes.T)))
+    free, level = centred(v)
     sw = np.sqrt(w)
-    beta, *_ = np.linalg.lstsq(x * sw[:, None], v * sw, rcond=None)
+    bend, *_ = np.linalg.lstsq((inner * sw).T, free * sw, rcond=None)
+    beta = np.concatenate([(level - bend @ means)[seen], bend])
     fully = w == 1
-    resid = (v - x @ beta)[fully] if fully.any() else np.zeros(0)
-    n, p = len(resid), x.shape[1]
+    resid = (free - bend @ inner)[fully] if fully.any() else np.zeros(0)
+    n, p = len(resid), len(beta)
     r = np.corrcoef(resid[1:], resid[:-1])[0, 1] if n > 2 and np.std(resid) > 0 else 0.0
     n_prime = n * (1 - r) / (1 + r) if np.isfinite(r) and r > -1 else float(n)
     k = len(seen)
@@ -93,7 +105,7 @@ class SegmentedModel:
             got = fit_segment(pdf["h"].to_numpy(), pdf["t"].to_numpy(), pdf["v"].to_numpy(), pdf["weight"].to_numpy(), share, least)
             return pd.DataFrame([[group[0], group[1], *(got[c] for c in names[1:])]], columns=[key, *names])
 
-        return rows.groupBy(key, "segment").applyInPandas(one, f"{key} {kind}, {ROW}")
+        return dealt(rows, key, "segment").groupBy(key, "segment").applyInPandas(one, f"{key} {kind}, {ROW}")
 
     def predict(self, params: DataFrame, hours: DataFrame, key: str = "meter_id") -> DataFrame:
         """hours with predicted, by the segment in whose middle the month is; null where the hour of week was never seen."""

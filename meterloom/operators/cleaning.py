@@ -17,6 +17,15 @@ def in_order(keys=KEY, ts: str = "ts") -> Window:
     return Window.partitionBy(*keys).orderBy(ts)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over enough tasks for a fit by key.
+
+    Fits cost far more than their rows weigh, so joining partitions that are small in bytes would put all
+    fits into a few tasks; a count of partitions that is given outright is kept."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def null_partial_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with a null in any of the columns have all of them null."""
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])

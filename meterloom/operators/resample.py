@@ -56,6 +56,21 @@ def spread(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts:
     return out if coverage else out.drop("coverage")
 
 
+def spread_months(df: DataFrame, value: str = "value", keys=KEY, ts: str = "ts") -> DataFrame:
+    """Readings of [ts, next ts) spread evenly over time and summed by calendar month, with the days held.
+
+    The same sums as spread() by day and then by month, from the overlap of each reading with each month,
+    so a reading gives a row a month and not a row a day."""
+    w = in_order(keys, ts)
+    parts = df.select(*keys, wall(ts).alias("_a"), wall(F.lead(ts).over(w)).alias("_b"), F.col(value).alias("_v")).where("_b is not null")
+    last = bucket(F.col("_b") - F.expr("interval 1 microsecond"), "month")
+    parts = parts.withColumn(ts, F.explode(F.sequence(bucket(F.col("_a"), "month"), last, F.expr(STEPS["month"]))))
+    following = (F.col(ts) + F.expr(STEPS["month"])).cast("timestamp_ntz")
+    held = seconds(F.least("_b", following)) - seconds(F.greatest("_a", ts))
+    share = F.try_divide(held, seconds("_b") - seconds("_a"))
+    return parts.withColumn("_held", held).groupBy(*keys, ts).agg(F.sum(F.col("_v") * share).alias(value), (F.sum("_held") / 86400.0).alias("days"))
+
+
 def mean_instantaneous(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts: str = "ts") -> DataFrame:
     """Time-weighted means by bucket of values that hold until the next reading."""
     w = in_order(keys, ts)
@@ -71,26 +86,27 @@ def fill_forward(c: str, w: Window) -> Column:
     return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def fill_backward(c: str, w: Window) -> Column:
-    return F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def fill_backward(c: str, keys=KEY, ts: str = "ts") -> Column:
+    """The next value that isn't null: the last one so far, reading backwards. (A frame that ends with the
+    partition would be read anew for every row.)"""
+    return fill_forward(c, Window.partitionBy(*keys).orderBy(F.col(ts).desc()))
 
 
 def fill_ends(df: DataFrame, value: str, keys=KEY, ts: str = "ts") -> DataFrame:
     """The value before, else the value after."""
-    w = in_order(keys, ts)
-    return df.withColumn(value, F.coalesce(fill_forward(value, w), fill_backward(value, w)))
+    return df.withColumn(value, F.coalesce(fill_forward(value, in_order(keys, ts)), fill_backward(value, keys, ts)))
 
 
 def interpolate(df: DataFrame, value: str, keys=KEY, ts: str = "ts") -> DataFrame:
     """Nulls between two values are linear in elapsed time, nulls after the last repeat it; `interpolated` marks filled rows."""
     w = in_order(keys, ts)
-    at = F.when(F.col(value).isNotNull(), seconds(ts))
-    df = df.withColumns({"_t": at, "_now": seconds(ts)})
-    before, after = fill_forward(value, w), fill_backward(value, w)
-    t0, t1 = fill_forward("_t", w), fill_backward("_t", w)
+    # A value and its time travel together, so that one window each way is enough.
+    df = df.withColumns({"_at": F.when(F.col(value).isNotNull(), F.struct(seconds(ts).alias("t"), F.col(value).alias("v"))), "_now": seconds(ts)})
+    df = df.withColumn("_next", fill_backward("_at", keys, ts)).withColumn("_last", fill_forward("_at", w))
+    before, after, t0, t1 = F.col("_last.v"), F.col("_next.v"), F.col("_last.t"), F.col("_next.t")
     between = before + (after - before) * F.try_divide(F.col("_now") - t0, t1 - t0)
     new = F.coalesce(F.col(value), between, before)
-    return df.withColumn("_new", new).withColumn("interpolated", F.col(value).isNull() & F.col("_new").isNotNull()).withColumn(value, F.col("_new")).drop("_t", "_now", "_new")
+    return df.withColumn("_new", new).withColumn("interpolated", F.col(value).isNull() & F.col("_new").isNotNull()).withColumn(value, F.col("_new")).drop("_at", "_now", "_next", "_last", "_new")
 
 
 def short_and_long_days(df: DataFrame, keys=KEY, ts: str = "ts") -> DataFrame:

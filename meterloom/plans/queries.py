@@ -35,15 +35,22 @@ def temperature_of(day):
 TEMPERATURE = "(85.0::DOUBLE - abs(dayofyear({0}) - 197) * (60.0::DOUBLE/182.0::DOUBLE) + ((date_diff('day', DATE '1970-01-01', {0}) * 37) % 23 - 11) * 0.5::DOUBLE)"
 
 
-def daily(spark: SparkSession, d: str, first: str = "1997-01-01", last: str = "1998-12-31") -> DataFrame:
-    li = _table(spark, d, "lineitem").where(F.col("l_shipdate").cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+#: The baseline year and the reporting year of the savings queries.
+TWO_YEARS = ("1997-01-01", "1998-12-31")
+
+
+def daily(spark: SparkSession, d: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Use by day, of all dates unless a period is given."""
+    li = _table(spark, d, "lineitem")
+    if first or last:
+        li = li.where(F.col("l_shipdate").cast("date").between(F.lit(first or "0001-01-01").cast("date"), F.lit(last or "9999-12-31").cast("date")))
     out = li.groupBy(F.col("l_returnflag").alias("meter_id"), F.col("l_shipdate").cast("date").alias("day")).agg(F.sum("l_quantity").alias("observed"))
     return out.withColumn("temperature", temperature_of(F.col("day"))).withColumn("ts", F.col("day").cast("timestamp_ntz"))
 
 
 DAILY = f"""daily AS (SELECT meter_id, day, observed, {TEMPERATURE.format('day')} AS temperature, day::TIMESTAMP AS ts FROM (
-  SELECT l_returnflag AS meter_id, l_shipdate::DATE AS day, sum(l_quantity) AS observed FROM lineitem
-  WHERE l_shipdate::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY 1, 2))"""
+  SELECT l_returnflag AS meter_id, l_shipdate::DATE AS day, sum(l_quantity) AS observed FROM lineitem GROUP BY 1, 2))"""
+DAILY_TWO = DAILY.replace("FROM lineitem", "FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
@@ -110,9 +117,20 @@ spread AS (SELECT meter_id, unnest(generate_series(a, b - INTERVAL 1 DAY, INTERV
 
 @query(f"WITH {BILLS}, {SPREAD} SELECT meter_id, strftime(ts, '%Y-%m') AS month, count(*) AS days, round(sum(value) + 1e-7, 3) AS value FROM spread GROUP BY 1, 2")
 def as_freq_spread(spark, d):
-    """Bills spread over days, days summed by month."""
-    out = resample.spread(bills(spark, d), "day")
-    return out.groupBy("meter_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("days"), r(F.sum("value") + 1e-7, 3).alias("value"))
+    """Bills spread over time and summed by month."""
+    out = resample.spread_months(bills(spark, d))
+    return out.select("meter_id", F.date_format("ts", "yyyy-MM").alias("month"), F.col("days").cast("long").alias("days"), r(F.col("value") + 1e-7, 3).alias("value"))
+
+
+@query(f"""WITH {READINGS}, u AS (SELECT meter_id, ts, sum(value) AS value FROM readings GROUP BY 1, 2), p AS (SELECT * FROM (SELECT meter_id, ts AS a, lead(ts) OVER (PARTITION BY meter_id ORDER BY ts) AS b, value FROM u) WHERE b IS NOT NULL),
+x AS (SELECT meter_id, unnest(generate_series(date_trunc('day', a), date_trunc('day', b - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS day, a, b, value FROM p),
+y AS (SELECT *, epoch(least(b, day + INTERVAL 1 DAY)) - epoch(greatest(a, day)) AS held FROM x)
+SELECT meter_id, strftime(day, '%Y-%m-%d') AS day, round(sum(value * held / (epoch(b) - epoch(a))) + 1e-8, 5) AS value, round(sum(held) / 86400.0, 6) AS coverage FROM y GROUP BY 1, 2""")
+def as_freq_days(spark, d):
+    """Irregular readings spread over days, and the share of each day that they cover."""
+    u = readings(spark, d).groupBy("meter_id", "ts").agg(F.sum("value").alias("value"))
+    out = resample.spread(u, "day", coverage=True)
+    return out.select("meter_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), r(F.col("value") + 1e-8, 5).alias("value"), r("coverage").alias("coverage"))
 
 
 @query(f"WITH {HOURS} SELECT meter_id, strftime(ts, '%Y-%m-%d') AS day, round(count(value) / 4.0, 6) AS coverage, CASE WHEN count(value) / 4.0 > 0.5 THEN round(sum(value) / (count(value) / 4.0), 6) END AS value FROM hours GROUP BY 1, 2")
@@ -292,22 +310,27 @@ def segment_weights(spark, d):
     return out.groupBy("meter_id", middle.cast("int").alias("segment_month")).agg(r(F.sum(F.col("weight") * F.col("observed")), 4).alias("weighted"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {DAILY}, x AS (SELECT meter_id, isodow(day) - 1 AS dow, observed AS v, greatest(temperature - 65, 0) AS x, greatest(50 - temperature, 0) AS y FROM daily),
+@query(f"""WITH {HOURS}, h AS (SELECT meter_id, ts, value AS v, {TEMPERATURE.format('ts::DATE')} + (12 - abs(hour(ts) - 15)) * 0.75::DOUBLE AS t FROM hours),
+x AS (SELECT meter_id, (isodow(ts) - 1) * 24 + hour(ts) AS how, v, greatest(t - 65, 0) AS x, greatest(50 - t, 0) AS y FROM h),
 m AS (SELECT meter_id, count(*)::DOUBLE n, sum(x) sx, sum(y) sy, sum(v) sv, sum(x*x) sxx, sum(y*y) syy, sum(x*y) sxy, sum(x*v) sxv, sum(y*v) syv FROM x GROUP BY 1),
-c AS (SELECT *, sxx-sx*sx/n a, syy-sy*sy/n b, sxy-sx*sy/n k, sxv-sx*sv/n p, syv-sy*sv/n q FROM m), f AS (SELECT meter_id, n, sx, sy, sv, (p*b-q*k)/(a*b-k*k) bx, (q*a-p*k)/(a*b-k*k) byy FROM c)
-SELECT x.meter_id, dow * 24 AS hour_of_week, avg(CASE WHEN v - ((sv - bx*sx - byy*sy)/n + bx*x + byy*y) > 0 THEN 1.0 ELSE 0.0 END) > 0.5 AS occupied FROM x JOIN f USING (meter_id) GROUP BY 1, 2""")
+c AS (SELECT *, sxx-sx*sx/n a, syy-sy*sy/n b, sxy-sx*sy/n k, sxv-sx*sv/n p, syv-sy*sv/n q FROM m), g AS (SELECT *, abs(a*b-k*k) <= 1e-12 * greatest(abs(a*b), 1e-300) AS flat FROM c),
+f AS (SELECT meter_id, n, sx, sy, sv, CASE WHEN NOT flat THEN (p*b-q*k)/(a*b-k*k) WHEN a > b THEN p/a ELSE 0 END bx, CASE WHEN NOT flat THEN (q*a-p*k)/(a*b-k*k) WHEN b >= a AND b > 0 THEN q/b ELSE 0 END byy FROM g)
+, o AS (SELECT x.meter_id, how, avg(CASE WHEN v - ((sv - bx*sx - byy*sy)/n + bx*x + byy*y) > 0 THEN 1.0 ELSE 0.0 END) > 0.5 AS occupied FROM x JOIN f USING (meter_id) GROUP BY 1, 2)
+SELECT f.meter_id, a.how AS hour_of_week, coalesce(o.occupied, true) AS occupied FROM f CROSS JOIN (SELECT unnest(range(168)) AS how) a LEFT JOIN o ON o.meter_id = f.meter_id AND o.how = a.how""")
 def occupancy(spark, d):
-    t = F.col("temperature")
-    df = daily(spark, d).select("meter_id", F.col("observed").alias("meter_value"), F.greatest(t - 65, F.lit(0.0)).alias("cdd_65"), F.greatest(50 - t, F.lit(0.0)).alias("hdd_50"), F.lit(1.0).alias("weight"), cal.hour_of_week("ts").alias("hour_of_week"))
-    return features.occupancy(df, ("meter_id",), share=0.5).where("hour_of_week % 24 = 0").select("meter_id", F.col("hour_of_week").cast("long").alias("hour_of_week"), "occupied")
+    """Whether each of a meter's 168 hours of the week is busy; one without readings is."""
+    h = hours(spark, d)
+    t = temperature_of(F.col("ts").cast("date")) + (12 - F.abs(F.hour("ts") - 15)) * 0.75
+    df = h.select("meter_id", F.col("value").alias("meter_value"), F.greatest(t - 65, F.lit(0.0)).alias("cdd_65"), F.greatest(50 - t, F.lit(0.0)).alias("hdd_50"), F.lit(1.0).alias("weight"), cal.hour_of_week("ts").alias("hour_of_week"))
+    return features.occupancy(df, ("meter_id",), share=0.5).select("meter_id", F.col("hour_of_week").cast("long").alias("hour_of_week"), "occupied")
 
 
 def _sufficiency(spark, d):
-    df = daily(spark, d, last="1997-12-31").withColumn("temperature_not_null", F.when(F.dayofyear("day") % 50 == 0, 0).otherwise(24)).withColumn("temperature_null", 24 - F.col("temperature_not_null"))
+    df = daily(spark, d, "1997-01-01", "1997-12-31").withColumn("temperature_not_null", F.when(F.dayofyear("day") % 50 == 0, 0).otherwise(24)).withColumn("temperature_null", 24 - F.col("temperature_not_null"))
     return sufficiency.judge(sufficiency.statistics(df))
 
 
-@query(f"""WITH {DAILY}, x AS (SELECT *, CASE WHEN dayofyear(day) % 50 = 0 THEN 0 ELSE 24 END AS tn FROM daily WHERE day <= DATE '1997-12-31'),
+@query(f"""WITH {DAILY_TWO}, x AS (SELECT *, CASE WHEN dayofyear(day) % 50 = 0 THEN 0 ELSE 24 END AS tn FROM daily WHERE day <= DATE '1997-12-31'),
 y AS (SELECT *, coalesce(date_diff('day', ts, lead(ts) OVER (PARTITION BY meter_id ORDER BY ts)), 0) AS n FROM x)
 SELECT meter_id, sum(CASE WHEN tn > 0 THEN 1 ELSE 0 END)::BIGINT AS n_complete, (date_diff('day', min(CASE WHEN tn > 0 THEN day END), max(CASE WHEN tn > 0 THEN day END)) + 1)::INT AS n_days_total, sum(n)::INT AS n_valid_meter_days, sum(CASE WHEN tn > 0 THEN n ELSE 0 END)::INT AS n_valid_temperature_days,
 CASE WHEN date_diff('day', min(CASE WHEN tn > 0 THEN day END), max(CASE WHEN tn > 0 THEN day END)) + 1 NOT BETWEEN 329 AND 365 THEN 1 ELSE 0 END AS n_disqualified FROM y GROUP BY 1""")
@@ -342,17 +365,17 @@ def lines(df: DataFrame) -> DataFrame:
     return df.groupBy("meter_id").agg(F.regr_slope("observed", "temperature").alias("slope"), F.regr_intercept("observed", "temperature").alias("intercept"))
 
 
-@query(f"WITH {DAILY}, {LINE} SELECT meter_id, round(slope, 6) AS slope, round(intercept, 5) AS intercept FROM line")
+@query(f"WITH {DAILY_TWO}, {LINE} SELECT meter_id, round(slope, 6) AS slope, round(intercept, 5) AS intercept FROM line")
 def ols_line(spark, d):
-    return lines(daily(spark, d, last="1997-12-31")).select("meter_id", r("slope").alias("slope"), r("intercept", 5).alias("intercept"))
+    return lines(daily(spark, d, "1997-01-01", "1997-12-31")).select("meter_id", r("slope").alias("slope"), r("intercept", 5).alias("intercept"))
 
 
 def _predicted(spark, d):
-    df = daily(spark, d)
+    df = daily(spark, d, *TWO_YEARS)
     return df.join(lines(df.where("day < date'1998-01-01'")), "meter_id").withColumn("predicted", F.col("intercept") + F.col("slope") * F.col("temperature"))
 
 
-BASE = f"""WITH {DAILY}, {LINE}, p AS (SELECT d.*, intercept + slope * temperature AS predicted, observed - (intercept + slope * temperature) AS res FROM daily d JOIN line USING (meter_id)),
+BASE = f"""WITH {DAILY_TWO}, {LINE}, p AS (SELECT d.*, intercept + slope * temperature AS predicted, observed - (intercept + slope * temperature) AS res FROM daily d JOIN line USING (meter_id)),
 b AS (SELECT *, lag(res) OVER (PARTITION BY meter_id ORDER BY ts) AS lagged FROM p WHERE day < DATE '1998-01-01'),
 m AS (SELECT meter_id, count(*)::DOUBLE AS n, avg(observed) AS mean, quantile_cont(observed, 0.75) - quantile_cont(observed, 0.25) AS iqr, sum(res * res) AS sse, avg(abs(res)) AS mae, corr(res, lagged) AS rho, corr(observed, predicted) AS c FROM b GROUP BY 1),
 k AS (SELECT *, n * (1 - rho) / (1 + rho) AS np FROM m)"""
@@ -423,12 +446,12 @@ def heating_cooling_load(spark, d):
     return _full(spark, d).groupBy("meter_id").agg(r(F.sum(F.when(t <= 50, m).otherwise(0.0)), 4).alias("heating_load"), r(F.sum(F.when(t >= 70, m).otherwise(0.0)), 4).alias("cooling_load"))
 
 
-@query(f"""WITH {DAILY}, g AS (SELECT meter_id, bp, observed AS v, greatest(temperature - bp, 0) AS x FROM daily, (SELECT unnest(range(40, 86, 5)) AS bp) WHERE day < DATE '1998-01-01'),
+@query(f"""WITH {DAILY_TWO}, g AS (SELECT meter_id, bp, observed AS v, greatest(temperature - bp, 0) AS x FROM daily, (SELECT unnest(range(40, 86, 5)) AS bp) WHERE day < DATE '1998-01-01'),
 s AS (SELECT meter_id, bp, (regr_syy(v, x) - regr_sxy(v, x) * regr_sxy(v, x) / nullif(regr_sxx(v, x), 0)) AS sse FROM g GROUP BY 1, 2)
 SELECT meter_id, bp::INT AS bp, round(sse, 3) AS sse FROM (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY sse, bp) AS rn FROM s) WHERE rn = 1""")
 def changepoint_grid(spark, d):
     """The cooling breakpoint of a grid with the least squares, from one aggregation over meter and breakpoint."""
-    g = daily(spark, d, last="1997-12-31").withColumn("bp", F.explode(F.sequence(F.lit(40), F.lit(85), F.lit(5)))).withColumn("x", F.greatest(F.col("temperature") - F.col("bp"), F.lit(0.0)))
+    g = daily(spark, d, "1997-01-01", "1997-12-31").withColumn("bp", F.explode(F.sequence(F.lit(40), F.lit(85), F.lit(5)))).withColumn("x", F.greatest(F.col("temperature") - F.col("bp"), F.lit(0.0)))
     s = g.groupBy("meter_id", "bp").agg((F.regr_syy("observed", "x") - F.regr_sxy("observed", "x") * F.try_divide(F.regr_sxy("observed", "x"), F.regr_sxx("observed", "x"))).alias("sse"))
     best = s.groupBy("meter_id").agg(F.min_by(F.struct("bp", "sse"), F.struct("sse", "bp")).alias("b"))
     return best.select("meter_id", "b.bp", r("b.sse", 3).alias("sse"))
@@ -623,12 +646,11 @@ def nearest_profile(spark, d):
     return joins.nearest_profile(k.where("id % 2 = 1").drop("near"), k.where("id % 2 = 0"), "id", "profile", "near").select("meter_id", "id", "near")
 
 
-@query(f"WITH {HOURS} SELECT month(ts) AS month, isodow(ts) - 1 AS weekday, round(avg(CASE WHEN hour(ts) = 0 THEN value END), 6) AS h0, round(avg(CASE WHEN hour(ts) = 12 THEN value END), 6) AS h12 FROM hours GROUP BY 1, 2")
+@query(f"WITH {HOURS} SELECT meter_id, month(ts) AS month, isodow(ts) - 1 AS weekday, " + ", ".join(f"round(avg(CASE WHEN hour(ts) = {i} THEN value END), 6) AS h{i}" for i in range(24)) + " FROM hours GROUP BY 1, 2, 3")
 def mean_profiles(spark, d):
-    """Mean use by month and weekday, hours across."""
-    h = hours(spark, d)
-    p = h.groupBy(F.month("ts").cast("long").alias("month"), F.weekday("ts").cast("long").alias("weekday"))
-    return p.agg(*(r(F.avg(F.when(F.hour("ts") == i, F.col("value")))).alias(f"h{i}") for i in (0, 12)))
+    """Mean use by meter, month and weekday, the 24 hours across."""
+    p = hours(spark, d).groupBy("meter_id", F.month("ts").cast("long").alias("month"), F.weekday("ts").cast("long").alias("weekday"))
+    return p.agg(*(r(F.avg(F.when(F.hour("ts") == i, F.col("value")))).alias(f"h{i}") for i in range(24)))
 
 
 @query(BASE + " SELECT meter_id, round(sqrt(avg(res * res)), 6) AS rmse, round(avg(abs(res)), 6) AS mae, round(sqrt(avg(res * res)) / avg(observed), 6) AS cvrmse, round(sqrt(avg(res * res)) / (quantile_cont(observed, 0.95) - quantile_cont(observed, 0.05)), 6) AS pnrmse FROM p GROUP BY 1")
@@ -644,9 +666,9 @@ def hour_rounding(spark, d):
     return e.select("event_id", text(cal.floor_hour("ts")).alias("floor"), text(cal.ceil_hour("ts")).alias("ceil"), text(cal.round_hour("ts")).alias("nearest"))
 
 
-@query("SELECT l_orderkey, l_linenumber, min(round(floor(log10(l_extendedprice)), 0)) AS magnitude, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2")
+@query("SELECT l_orderkey, l_linenumber, min(round(floor(log10(l_extendedprice)), 0)) AS magnitude, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def magnitudes(spark, d):
-    li = _table(spark, d, "lineitem").where("l_linenumber <= 2")
+    li = _table(spark, d, "lineitem")
     return li.groupBy("l_orderkey", "l_linenumber").agg(F.min(scalar.magnitude(F.col("l_extendedprice"), "floor")).alias("magnitude"), F.count("*").alias("n"))
 
 
@@ -688,9 +710,9 @@ def modeled_savings(spark, d):
     return metrics.modeled_savings(a, b).groupBy("meter_id").agg(r(F.sum("savings"), 4).alias("savings"), F.count("*").alias("n"))
 
 
-@query(f"WITH {DAILY} SELECT meter_id, (min(day) > DATE '1996-12-01')::INT AS gap_at_start, (max(day) < DATE '1998-12-31')::INT AS gap_at_end FROM daily GROUP BY 1")
+@query(f"WITH {DAILY_TWO} SELECT meter_id, (min(day) > DATE '1996-12-01')::INT AS gap_at_start, (max(day) < DATE '1998-12-31')::INT AS gap_at_end FROM daily GROUP BY 1")
 def gap_warnings(spark, d):
-    g = daily(spark, d).groupBy("meter_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    g = daily(spark, d, *TWO_YEARS).groupBy("meter_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     w = periods.gap_warnings("baseline", F.col("a"), F.col("b"), F.lit("1996-12-01").cast("date"), F.lit("1998-12-31").cast("date"))
     g = g.withColumn("w", F.transform(w, lambda x: x["qualified_name"]))
     return g.select("meter_id", F.exists("w", lambda x: x.endswith("start")).cast("int").alias("gap_at_start"), F.exists("w", lambda x: x.endswith("end")).cast("int").alias("gap_at_end"))
