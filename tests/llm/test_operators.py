@@ -348,37 +348,6 @@ def test_pitman_yor(spark, texts):
     assert {r.doc_id for r in one.collect()} == {None, 1}
 
 
-def test_pitman_yor_sums_to_one(spark, texts):
-    df = frame(spark, texts)
-    packed = common.cut(df.mapInArrow(pitman_yor.pack, "block long, ids binary, present binary, sizes binary, payload binary"))
-    m, by_word, by_pair = pitman_yor.fit(packed, 7, 2, frequent=0.01)
-    rare = np.array([r.total for r in by_word.where("first").collect()])
-    pairs = {r.key: r.total for r in by_pair.where("first").collect()}
-    k = len(m.frequent)
-    assert k > 3 and len(rare) > 3
-    assert m.rare(rare).sum() + m.rare(np.zeros(1, int))[0] == pytest.approx(1.0)
-    for context in (0, 1, k, k + 1):
-        keys = context * (k + 2) + np.arange(k + 1)
-        assert m.predict(keys, np.array([pairs.get(int(x), 0) for x in keys])).sum() == pytest.approx(1.0)
-
-
-def test_pitman_yor_whole_model_sums_to_one(spark, texts):
-    df = frame(spark, texts)
-    packed = common.cut(df.mapInArrow(pitman_yor.pack, "block long, ids binary, present binary, sizes binary, payload binary"))
-    m, by_word, by_pair = pitman_yor.fit_all(packed, 7, 2)
-    words = {r.key: r for r in by_word.collect()}  # the same in all blocks
-    pairs = {r.key: r.total for r in by_pair.collect()}
-    keys = np.array(list(words), np.int64)
-    x = np.array([words[int(k)].x for k in keys])
-    assert len(keys) == m.v and sum(pairs.values()) == m.n == sum(r.total for r in words.values())
-    dish, customers = np.append(keys, 12345).view(np.uint64), np.vstack([x[:, 4:], np.zeros(4)])  # and the unknown word
-    for c in (0, 1, len(keys) - 1, list(keys.view(np.uint64)).index(pitman_yor.END)):
-        k = pitman_yor.pair_key(np.full(len(dish), keys[c]).view(np.uint64), dish)
-        count = np.array([pairs.get(int(i), 0) for i in k.view(np.int64)])
-        assert count.sum() == words[keys[c]].total
-        assert m.predict(k, count, np.full(len(k), words[keys[c]].total), np.repeat(x[c, :4, None], len(k), 1), customers.T).sum() == pytest.approx(1.0)
-
-
 def test_pitman_yor_rare_words_have_contexts(spark):
     """A pair of words far under 2e-5 of all tokens tells on the second one, as in a frequent context."""
     rng = random.Random(3)
@@ -396,19 +365,6 @@ def test_pitman_yor_rare_words_have_contexts(spark):
     assert out[ids[0]].score > out[ids[1]].score + 1
 
 
-def test_seats_follow_the_restaurant():
-    rng, d, a, n = np.random.default_rng(0), 0.6, 0.8, 12
-    want = []
-    for _ in range(4000):
-        t = 1
-        for i in range(1, n):
-            t += rng.random() < a / (a + i - d * t)
-        want.append(t)
-    got = pitman_yor.seat(np.full(4000, float(n)), np.full(4000, a), d, common.mix(np.arange(4000, dtype=np.uint64)))
-    assert got.mean() == pytest.approx(np.mean(want), rel=0.05)
-    assert (pitman_yor.seat(np.array([0.0, 1.0, 1e6]), np.full(3, 5.0), d, np.arange(3, dtype=np.uint64)) <= [0, 1, 1e6]).all()
-
-
 def test_mixing(spark):
     n = 4000
     df = spark.createDataFrame([(i, f"t{i}", "big" if i % 4 else "small") for i in range(n)], "doc_id long, text string, source string")
