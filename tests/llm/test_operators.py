@@ -309,15 +309,6 @@ def test_template_tokens_nest(spark):
     assert set(found) == {"h"} and len(found["h"]) > 8
 
 
-def test_kneser_ney_sums_to_one():
-    data, offsets = common.as_buffers(common.pa.array(["abracadabra", "abc", "cab cab"]))
-    grams, counts = np.unique(quality_kn.histories(data, offsets, 3), return_counts=True)
-    m = quality_kn.estimate(grams[::-1], counts[::-1], 3, 4)
-    for context in (b"ab", b"zz", b"\xff\xff", b"c\x61"):
-        head = np.uint64(context[0] << 16 | context[1] << 8)
-        assert (2.0 ** m.log2(np.arange(256, dtype=np.uint64) | head)).sum() == pytest.approx(1.0)
-
-
 def test_quality(spark):
     rng = random.Random(7)
     words = ["water", "stone", "light", "river", "house"]
