@@ -39,6 +39,7 @@ from meterloom.llm.components import components
 GROWTH = 1.5
 SKETCH = 32  # words of 64 bits
 PAIR_COST, AGREE = 2.0, 0.05
+PART = 1024  # members of an entry in one part of the last round
 
 
 def bands(limit: int) -> list[int]:
@@ -250,6 +251,8 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     def pruned(pairs: DataFrame) -> DataFrame:
         return cut(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(_within(p, q)).select("a", "b"))
 
+    # Where ids tell rows apart, a set's least doc_id names one text; elsewhere one of its rows is picked.
+    repeated = not sets.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty()
     texts = None
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -269,7 +272,8 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = nodes.join(ids, "set_id", "left_semi").select(F.col("doc_id").alias("want")).distinct()
         found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-        return cut(found.mapInArrow(lambda x: with_names(x, k), "set_id long, text string"))
+        found = found.mapInArrow(lambda x: with_names(x, k), "set_id long, text string")
+        return cut(found.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]) if repeated else found)
 
     texts = fetch(needed)
     # The first tests take one partner of each set, then those between components that remain.
@@ -294,10 +298,13 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
         held = held.select("sig", F.col("pivot").alias("m")).union(held.select("sig", F.col("member").alias("m"))).distinct()
         held = cut(held.join(labels.select(F.col("node").alias("m"), "component"), "m", "left").withColumn("component", F.coalesce("component", "m")))
         by_part = held.groupBy("sig", "component").agg(F.count("*").alias("c"), F.max(F.struct(F.xxhash64("m", "sig", F.lit(turn)).alias("h"), "m"))["m"].alias("some"))
-        main = by_part.groupBy("sig").agg(F.max(F.struct("c", "component", "some")).alias("main"), F.sum("c").alias("all")).where("all > 2").select("sig", "main.component", "main.some")
-        outside = held.join(main.withColumnRenamed("component", "mc"), "sig").where("component != mc").select("sig", F.col("m").alias("x"), F.col("component").alias("cx"), "some")
+        main = by_part.groupBy("sig").agg(F.max(F.struct("c", "component", "some")).alias("main"), F.sum("c").alias("all")).where("all > 2").select("sig", "main.component", "main.some", (F.floor(F.col("all") / PART) + 1).alias("parts"))
+        outside = held.join(main.withColumnRenamed("component", "mc"), "sig").where("component != mc").select("sig", F.col("m").alias("x"), F.col("component").alias("cx"), "some", "parts")
         if last:
-            other = outside.join(side("a", "x"), "x").join(held.join(side("b", "m"), "m"), "sig").where((F.col("cx") != F.col("component")) & _within(p, q)).select("x", "m")
+            # Members of a large entry are dealt into parts; those outside the main component go to each part.
+            mine = outside.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            whole = held.join(main.select("sig", "parts"), "sig").withColumn("part", F.pmod(F.xxhash64("m"), F.col("parts"))).drop("parts")
+            other = mine.join(side("a", "x"), "x").join(whole.join(side("b", "m"), "m"), ["sig", "part"]).where((F.col("cx") != F.col("component")) & _within(p, q)).select("x", "m")
         else:
             other = outside.select("x", F.col("some").alias("m"))
         cross = pruned(other.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))

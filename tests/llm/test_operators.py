@@ -383,3 +383,13 @@ def test_poisson_inverse(spark):
             p *= r.rate / k
             cdf += p
         assert r.k == k
+
+
+def test_repeated_ids_take_linear_time_and_keep_links(spark, texts):
+    """Two near texts under few ids, a thousand rows each."""
+    rng = random.Random(8)
+    a = prose(rng, 300, [f"v{i}" for i in range(200)])
+    b = a.replace(a.split(" ")[5], "other", 1)
+    rows = [(i % 3, t) for i in range(1000) for t in (a, b)] + [(9, "quite another text than these")]
+    out = ngram_jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string"), k=3, p=90, q=100)
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(0, 0), (1, 0), (2, 0), (9, 9)} and out.count() == 2001
