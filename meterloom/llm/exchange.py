@@ -38,16 +38,6 @@ def expand(data: bytes, ordered: bool = False) -> np.ndarray:
     return (np.cumsum(x) if ordered else x) - 1
 
 
-def squeeze_floats(x: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(np.asarray(x, "<f4").ravel().view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 3)
-
-
-def expand_floats(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<f4").ravel().astype(np.float64)
-
-
 def message(kind: int, dst: int, src: int, *blobs: bytes, n: int = 0) -> tuple:
     return (kind, dst, src, n, *blobs, *[None] * (len(COLUMNS) - len(blobs)))
 
