@@ -95,4 +95,12 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+#: All pairs of vectors, and what they reach. The query has the same rows where hashing misses no pair (expected recall 0.995).
+OP2_SQL = """WITH RECURSIVE good AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding::DOUBLE[], lambda x: x IS NULL OR isnan(x) OR isinf(x)))),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS component_id, (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) = e.vec_id AS kept FROM embeddings e"""
+
+ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2_SQL}
