@@ -340,6 +340,53 @@ def dq_daily(spark, d):
     return out.select("meter_id", "n_complete", "n_days_total", "n_valid_meter_days", "n_valid_temperature_days", span.alias("n_disqualified"))
 
 
+def _years(spark, d):
+    """Each meter's years as meters of their own, with holes in use, temperature and irradiance and negative use, more in some years."""
+    y, n = F.year("day"), F.dayofyear("day")
+    df = daily(spark, d).withColumn("meter_id", F.concat("meter_id", y.cast("string")))
+    use = F.when(n % (2 + (y % 7) * 4) != 0, F.when((n == 100) & (y % 2 == 1), F.lit(-1.0)).when(n == 200, F.col("observed") * 50).otherwise(F.col("observed")))
+    df = df.withColumns({"observed": use, "temperature": F.when((n % (3 + (y % 5) * 5) != 1) & (y != 2000), F.col("temperature"))})
+    df = df.withColumns({"temperature_not_null": F.when(F.col("temperature").isNull(), 0).otherwise(24), "ghi": F.when((F.month("day") != 7) | (y % 3 != 0), F.lit(1.0))})
+    return df.withColumn("temperature_null", 24 - F.col("temperature_not_null")).withColumn("from", F.make_date(y, F.lit(1), F.lit(11)).cast("timestamp_ntz")).withColumn("to", F.make_date(y, F.lit(12), F.lit(31)).cast("timestamp_ntz"))
+
+
+def _names(c: str):
+    return F.array_join(F.transform(c, lambda x: F.element_at(F.split(x["qualified_name"], "\\."), -1)), ",")
+
+
+YEARS = f"""WITH {DAILY}, a AS (SELECT *, year(day) AS y, dayofyear(day) AS n FROM daily), x AS (SELECT meter_id || y AS meter_id, y, day, ts, CASE WHEN n % (2 + (y % 7) * 4) <> 0 THEN CASE WHEN n = 100 AND y % 2 = 1 THEN -1.0 WHEN n = 200 THEN observed * 50 ELSE observed END END AS observed,
+CASE WHEN n % (3 + (y % 5) * 5) <> 1 AND y <> 2000 THEN temperature END AS temperature, CASE WHEN month(day) <> 7 OR y % 3 <> 0 THEN 1 END AS ghi FROM a),
+l AS (SELECT *, coalesce(date_diff('day', ts, lead(ts) OVER (PARTITION BY meter_id ORDER BY ts)), 0) AS held, CASE WHEN observed IS NOT NULL AND temperature IS NOT NULL THEN day END AS whole FROM x),
+f AS (SELECT meter_id, quantile_cont(observed, 0.5) + 3 * (quantile_cont(observed, 0.75) - quantile_cont(observed, 0.25)) AS fence FROM x GROUP BY 1),
+m AS (SELECT meter_id, min(mo) AS mo, min(mt) AS mt, min(mg) AS mg FROM (SELECT meter_id, month(day) AS k, count(observed) / count(*) AS mo, count(temperature) / count(*) AS mt, count(ghi) / count(*) AS mg FROM x GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT meter_id, count(whole) AS c, date_diff('day', min(whole), max(whole)) + 1 AS days, date_diff('day', make_date(any_value(y), 1, 11), min(whole)) AS gap0, date_diff('day', max(whole), make_date(any_value(y), 12, 31)) AS gap1, sum(CASE WHEN observed IS NOT NULL THEN held ELSE 0 END) AS vm, sum(CASE WHEN temperature IS NOT NULL THEN held ELSE 0 END) AS vt, sum(CASE WHEN whole IS NOT NULL THEN held ELSE 0 END) AS v, sum(CASE WHEN observed < 0 THEN 1 ELSE 0 END) AS neg, sum(CASE WHEN observed > fence THEN 1 ELSE 0 END) AS ext FROM l JOIN f USING (meter_id) GROUP BY 1),
+j AS (SELECT *, days + gap0 + gap1 AS total FROM s JOIN m USING (meter_id))"""
+FEW = "CASE WHEN coalesce({0} / total < 0.9, true) THEN '{1}' END"
+
+
+@query(YEARS + f""" SELECT meter_id, c AS n_complete, total::INT AS n_days_total, concat_ws(',', CASE WHEN c = 0 THEN 'no_data' END, CASE WHEN neg > 0 THEN 'negative_meter_values' END, CASE WHEN total > 365 OR total < 329 THEN 'incorrect_number_of_total_days' END, {FEW.format('v', 'too_many_days_with_missing_data')}, {FEW.format('vm', 'too_many_days_with_missing_meter_data')}, {FEW.format('vt', 'too_many_days_with_missing_temperature_data')},
+CASE WHEN mt < 0.9 THEN 'missing_monthly_temperature_data' END, CASE WHEN mo < 0.9 THEN 'missing_monthly_meter_data' END, CASE WHEN mg < 0.9 THEN 'missing_monthly_ghi_data' END, CASE WHEN gap0 < 0 THEN 'extra_data_before_requested_start_date' END, CASE WHEN gap1 < 0 THEN 'extra_data_after_requested_end_date' END) AS baseline,
+concat_ws(',', CASE WHEN c = 0 THEN 'no_data' END, {FEW.format('vt', 'too_many_days_with_missing_data')}, {FEW.format('vt', 'too_many_days_with_missing_temperature_data')}, CASE WHEN mt < 0.9 THEN 'missing_monthly_temperature_data' END) AS reporting, CASE WHEN ext > 0 THEN 'extreme_values_detected' ELSE '' END AS warnings FROM j""")
+def dq_rules(spark, d):
+    """Every rule, by meter and year: those of hourly baselines of gas, asked for from 11 January on, and of daily reports."""
+    stats = sufficiency.statistics(_years(spark, d), requested_start="from", requested_end="to")
+    base = sufficiency.judge(stats, electricity=False, model="hourly", window=True)
+    base = base.select("meter_id", "n_complete", "n_days_total", _names("disqualification").alias("baseline"), _names("warnings").alias("warnings"))
+    return base.join(sufficiency.judge(stats, "reporting").select("meter_id", _names("disqualification").alias("reporting")), "meter_id")
+
+
+@query(f"""WITH {BILLS}, g AS (SELECT meter_id, date_diff('day', ts, lead(ts) OVER (PARTITION BY meter_id ORDER BY ts)) AS n FROM bills) SELECT meter_id, coalesce(bool_or(n NOT BETWEEN 25 AND 70), false) AS off_cycle FROM g GROUP BY 1""")
+def off_cycle_rule(spark, d):
+    return sufficiency.off_cycle_rule(bills(spark, d), "billing_bimonthly").select("meter_id", (F.size("disqualification") > 0).alias("off_cycle"))
+
+
+@query(f"""WITH {HOURS}, c AS (SELECT meter_id, ts::DATE AS day, count(value) / 4.0 AS c FROM hours GROUP BY 1, 2) SELECT meter_id, sum(CASE WHEN c <= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_uncovered, CASE WHEN min(c) <= 0.5 THEN 1 ELSE 0 END AS warned FROM c GROUP BY 1""")
+def coverage_warnings(spark, d):
+    """Four readings a day asked for."""
+    out = sufficiency.coverage_warnings(cleaning.daily_with_coverage(hours(spark, d), 4), "meter")
+    return out.select("meter_id", "n_uncovered", F.size("warnings").alias("warned"))
+
+
 @query(f"""WITH {HOURS}, {SPINE}, g AS (SELECT *, value IS NULL AS gone FROM dense), n AS (SELECT *, CASE WHEN gone IS DISTINCT FROM lag(gone) OVER (PARTITION BY meter_id ORDER BY ts) THEN 1 ELSE 0 END AS new FROM g),
 q AS (SELECT *, sum(new) OVER (PARTITION BY meter_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT meter_id, max(c)::BIGINT AS longest_null_run FROM (SELECT meter_id, run, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS c FROM q GROUP BY 1, 2) GROUP BY 1""")
 def longest_null_run(spark, d):
