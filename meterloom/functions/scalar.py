@@ -120,17 +120,24 @@ def robust_loss(x: Column, a: float) -> Column:
     return b / a * (F.pow(x * x / b + 1, F.lit(a / 2)) - 1)
 
 
+def robust_slope(x: Column, a: float) -> Column:
+    """The derivative of that loss: the residual times its weight, on both sides of 0."""
+    return x * _fall(x, a)
+
+
 def robust_weight(x: Column, a: float, least: float = 0.0) -> Column:
     """Weight of a scaled residual under that loss; residuals at or under 0 keep weight 1."""
+    return F.when(x <= 0, F.lit(1.0)).otherwise(_fall(x, a) * (1 - least) + least)
+
+
+def _fall(x: Column, a: float) -> Column:
     if a == 2:
-        w = F.lit(1.0)
-    elif a == 0:
-        w = 1 / (0.5 * x * x + 1)
-    elif a == float("-inf"):
-        w = F.exp(-0.5 * x * x)
-    else:
-        w = F.pow(x * x / abs(a - 2) + 1, F.lit(a / 2 - 1))
-    return F.when(x <= 0, F.lit(1.0)).otherwise(w * (1 - least) + least)
+        return F.lit(1.0)
+    if a == 0:
+        return 1 / (0.5 * x * x + 1)
+    if a == float("-inf"):
+        return F.exp(-0.5 * x * x)
+    return F.pow(x * x / abs(a - 2) + 1, F.lit(a / 2 - 1))
 
 
 def edge_terms(t: Column, low: float, high: float, rate: float, scale: float = 1.0) -> list[Column]:

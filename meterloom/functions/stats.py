@@ -32,6 +32,30 @@ def scaled_mad(df: DataFrame, keys: list[str], c: str) -> DataFrame:
     return df.join(middle, keys).groupBy(*keys).agg((F.percentile(F.abs(F.col(c) - F.col("_m")), 0.5) * MAD_SCALE).alias("mad_scaled"))
 
 
+def min_max(df: DataFrame, keys: list[str], c: str, quantile: float = 0.1) -> DataFrame:
+    """df with c brought to 0 and 1 at each group's quantiles `quantile` and 1 - `quantile`; a group without a spread between them has 0.5."""
+    ends = df.groupBy(*keys).agg(F.percentile(c, quantile).alias("_a"), F.percentile(c, 1 - quantile).alias("_b"))
+    scaled = F.when(F.col(c).isNull(), F.lit(None)).when(F.col("_a") == F.col("_b"), 0.5).otherwise((F.col(c) - F.col("_a")) / (F.col("_b") - F.col("_a")))
+    return df.join(ends, keys).withColumn(c, scaled).drop("_a", "_b")
+
+
+def kth(c: Column, k: int) -> Column:
+    """The k-th smallest value of a group, or the -k-th largest; null if there are fewer."""
+    return F.try_element_at(F.sort_array(F.collect_list(c)), F.lit(k))
+
+
+def line(y: Column, x: Column) -> dict[str, Column]:
+    """Least squares of y by x; where x has one value only, a flat line at the mean."""
+    slope = F.regr_slope(y, x)
+    both = y.isNotNull() & x.isNotNull()
+    return {"slope": F.when(F.count(F.when(both, 1)) > 0, F.coalesce(slope, F.lit(0.0))), "intercept": F.coalesce(F.regr_intercept(y, x), F.avg(F.when(both, y)))}
+
+
+def arg_min(what: Column, by: Column, order: Column) -> Column:
+    """`what` of a group's row with the least `by`, the first in `order` among equals; rows without `by` don't count."""
+    return F.min_by(what, F.when(by.isNotNull(), F.struct(by.alias("by"), order.alias("order"))))
+
+
 def weighted_std(x: Column, w: Column) -> Column:
     """Standard deviation with weights brought to sum 1, over 1 - 1/n; null for fewer than two values."""
     n = F.sum(F.when(x.isNotNull() & w.isNotNull(), 1)).cast("double")

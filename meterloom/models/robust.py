@@ -74,10 +74,20 @@ def log_partition(a: float) -> float:
     return float(np.log(2 * np.trapezoid(np.exp(-loss(grid, a)), grid)))
 
 
+#: The least shape, the decades and the power of the curve up to shape 2, the middle and width of that beyond.
+LEAST_SHAPE, DECADES, POWER, MIDDLE, WIDTH = -100.0, 3.0, 0.25, 1.0, 1.5
+
+
 def shape_at(s: float, top: float = 2.0) -> float:
-    """Shape for s from 0 (about -100) to 1 (`top`): closer steps towards the top."""
-    low = -100.0
-    return low + (top - low) * float(np.clip(s, 0, 1)) ** 0.25
+    """Shape for s from 0 to 1: up to 2 along a hyperbolic tangent, with closer steps towards the top; for another
+    top along a logistic curve from -100 to 100."""
+    s = float(np.clip(s, 0, 1))
+    if top == 2:
+        reach = DECADES * np.log(10) / 2
+        return LEAST_SHAPE + (2 - LEAST_SHAPE) * float(np.tanh(reach * s**POWER) / np.tanh(reach))
+    if s in (0.0, 1.0):
+        return 100.0 if s else -100.0
+    return float(np.clip(MIDDLE + WIDTH * np.log(s / (1 - s)), -100, 100))
 
 
 def golden_section(f, a: float, b: float, tol: float = 1e-5) -> float:

@@ -24,6 +24,12 @@ def spine(df: DataFrame, step: str = "hour", keys=KEY, ts: str = "ts") -> DataFr
     return ends.select(*keys, F.explode(F.sequence(F.col("_a"), end, F.expr(STEPS[step]))).alias(ts))
 
 
+def with_times(df: DataFrame, times: DataFrame, keys=KEY, ts: str = "ts") -> DataFrame:
+    """df with a row for each meter's time in `times` that it lacks, other columns null there."""
+    lacking = times.select(*keys, ts).distinct().join(df, [*keys, ts], "left_anti")
+    return df.unionByName(lacking, allowMissingColumns=True)
+
+
 def on_spine(df: DataFrame, step: str = "hour", keys=KEY, ts: str = "ts") -> DataFrame:
     """df with a row for every step, values null where there was none. df has one row at most for each."""
     return spine(df, step, keys, ts).join(df, [*keys, ts], "left")

@@ -409,7 +409,7 @@ LINE = """line AS (SELECT meter_id, regr_slope(observed, temperature) AS slope,
 
 
 def lines(df: DataFrame) -> DataFrame:
-    return df.groupBy("meter_id").agg(F.regr_slope("observed", "temperature").alias("slope"), F.regr_intercept("observed", "temperature").alias("intercept"))
+    return df.groupBy("meter_id").agg(*(c.alias(name) for name, c in stats.line(F.col("observed"), F.col("temperature")).items()))
 
 
 @query(f"WITH {DAILY_TWO}, {LINE} SELECT meter_id, round(slope, 6) AS slope, round(intercept, 5) AS intercept FROM line")
@@ -500,7 +500,7 @@ def changepoint_grid(spark, d):
     """The cooling breakpoint of a grid with the least squares, from one aggregation over meter and breakpoint."""
     g = daily(spark, d, "1997-01-01", "1997-12-31").withColumn("bp", F.explode(F.sequence(F.lit(40), F.lit(85), F.lit(5)))).withColumn("x", F.greatest(F.col("temperature") - F.col("bp"), F.lit(0.0)))
     s = g.groupBy("meter_id", "bp").agg((F.regr_syy("observed", "x") - F.regr_sxy("observed", "x") * F.try_divide(F.regr_sxy("observed", "x"), F.regr_sxx("observed", "x"))).alias("sse"))
-    best = s.groupBy("meter_id").agg(F.min_by(F.struct("bp", "sse"), F.struct("sse", "bp")).alias("b"))
+    best = s.groupBy("meter_id").agg(stats.arg_min(F.struct("bp", "sse"), F.col("sse"), F.col("bp")).alias("b"))
     return best.select("meter_id", "b.bp", r("b.sse", 3).alias("sse"))
 
 
@@ -779,8 +779,29 @@ def union_all(spark, d):
 @query(f"WITH {DAILY} SELECT meter_id, round(list_sort(list(temperature))[6], 6) AS low, round(list_reverse_sort(list(temperature))[6], 6) AS high FROM daily GROUP BY 1")
 def order_statistics(spark, d):
     """Sixth smallest and sixth largest temperature, which bound the breakpoints."""
-    t = F.sort_array(F.collect_list("temperature"))
-    return daily(spark, d).groupBy("meter_id").agg(r(F.element_at(t, 6)).alias("low"), r(F.element_at(t, -6)).alias("high"))
+    t = F.col("temperature")
+    return daily(spark, d).groupBy("meter_id").agg(r(stats.kth(t, 6)).alias("low"), r(stats.kth(t, -6)).alias("high"))
+
+
+@query(f"WITH {DAILY}, q AS (SELECT meter_id, quantile_cont(observed, 0.1) AS a, quantile_cont(observed, 0.9) AS b FROM daily GROUP BY 1) SELECT meter_id, strftime(day, '%Y-%m-%d') AS day, round(CASE WHEN a = b THEN 0.5 ELSE (observed - a) / (b - a) END, 6) AS observed FROM daily JOIN q USING (meter_id)")
+def min_max_scaled(spark, d):
+    return stats.min_max(daily(spark, d), ["meter_id"], "observed").select("meter_id", F.date_format("day", "yyyy-MM-dd").alias("day"), r("observed").alias("observed"))
+
+
+@query(BASE + ", w AS (SELECT meter_id, (predicted - observed) / 100.0 AS x FROM p) SELECT meter_id, round(sum(x), 4) AS slope_2, round(sum(x / sqrt(x * x + 1)), 4) AS slope_1, round(sum(2 * x / (x * x + 2)), 4) AS slope_0, round(sum(16 * x / power(4 + x * x, 2)), 4) AS slope_m2, round(sum(x * exp(-0.5 * x * x)), 4) AS slope_inf FROM w GROUP BY 1")
+def loss_slopes(spark, d):
+    """Derivatives of the robust loss, summed, for shapes with a form of their own."""
+    x = (F.col("predicted") - F.col("observed")) / 100.0
+    shapes = {"2": 2, "1": 1, "0": 0, "m2": -2, "inf": float("-inf")}
+    return _predicted(spark, d).groupBy("meter_id").agg(*(r(F.sum(scalar.robust_slope(x, a)), 4).alias(f"slope_{name}") for name, a in shapes.items()))
+
+
+@query(f"WITH {BILLS}, e AS (SELECT meter_id, min(ts) AS ts FROM bills GROUP BY 1 UNION SELECT meter_id, max(ts) + INTERVAL 30 DAY FROM bills GROUP BY 1), t AS (SELECT meter_id, ts FROM bills UNION SELECT meter_id, ts FROM e) SELECT meter_id, {TEXT.format('ts')} AS ts, round(value, 4) AS value FROM t LEFT JOIN bills USING (meter_id, ts)")
+def union_distinct(spark, d):
+    """Bills with a boundary at each end, that at the start being there already."""
+    b = bills(spark, d)
+    ends = b.groupBy("meter_id").agg(F.explode(F.array(F.min("ts"), F.max("ts") + F.expr("interval 30 days"))).alias("ts"))
+    return resample.with_times(b, ends).select("meter_id", text("ts").alias("ts"), r("value", 4).alias("value"))
 
 
 @query(f"""WITH {DAILY}, s AS (SELECT meter_id, CASE WHEN month(day) IN (11, 12, 1, 2) THEN 'wi' WHEN month(day) IN (6, 7, 8, 9) THEN 'su' ELSE 'sh' END AS se, isodow(day) >= 6 AS we, observed FROM daily)

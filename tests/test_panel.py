@@ -137,6 +137,31 @@ def test_robust_weights():
     assert list(robust.fence(np.array([1.0, 2, 3, 4, 5]))) == pytest.approx([2 - 2 * 1.7239, 4 + 2 * 1.7239])
 
 
+def test_shapes():
+    assert [robust.shape_at(s) for s in (-1, 0, 1, 2)] == [-100, -100, pytest.approx(2), pytest.approx(2)]
+    u = 10 ** (3 * 0.2**0.25)
+    assert robust.shape_at(0.2) == pytest.approx(-100 + 102 * (1 - 2 / (1 + u)) / (1 - 2 / 1001))
+    assert [robust.shape_at(s, 3.0) for s in (0, 0.5, 1)] == [-100, 1, 100]
+
+
+def test_order_line_and_scale(spark):
+    df = rows(spark, [("a", 1.0, 5.0), ("a", 1.0, 7.0), ("b", None, 1.0), ("c", 0.0, 1.0), ("c", 2.0, 5.0)], "k string, x double, y double")
+    out = {r.k: r for r in df.groupBy("k").agg(*(c.alias(n) for n, c in stats.line(F.col("y"), F.col("x")).items()), stats.kth(F.col("y"), 2).alias("second"), stats.arg_min(F.col("y"), F.col("x"), F.col("y")).alias("least")).collect()}
+    assert [(r.slope, r.intercept, r.second, r.least) for r in (out["a"], out["b"], out["c"])] == [(0.0, 6.0, 7.0, 5.0), (None, None, None, None), (2.0, 1.0, 5.0, 1.0)]
+    assert sorted(r.x is None or r.x for r in stats.min_max(df, ["k"], "x", 0.0).collect()) == [0.0, 0.5, 0.5, 1.0, True]
+
+
+def test_rules_of_classes(spark):
+    start = at(2020, 1, 1)
+    df = rows(spark, [("a", start + dt.timedelta(days=i), 1.0, None if i % 2 else 1.0, 24, 0) for i in range(365)] + [("b", start, None, None, 0, 24)], "meter_id string, ts timestamp_ntz, observed double, ghi double, temperature_not_null int, temperature_null int")
+    got = {(r.meter_id, kind, model): {x.qualified_name.split(".")[-1] for x in r.disqualification} for model in ("daily", "hourly") for kind in ("baseline", "reporting") for r in sufficiency.judge(sufficiency.statistics(df), kind, model=model).collect()}
+    assert got["a", "baseline", "daily"] == got["a", "reporting", "daily"] == set()
+    assert got["a", "baseline", "hourly"] == got["a", "reporting", "hourly"] == {"missing_monthly_ghi_data"}
+    assert {"no_data", "too_many_days_with_missing_data", "too_many_days_with_missing_meter_data"} < got["b", "baseline", "daily"]
+    log = {r.rule.split(".")[-1]: r.meters for r in sufficiency.report(sufficiency.judge(sufficiency.statistics(df))).collect()}
+    assert log["no_data"] == 1
+
+
 def test_splits():
     x = all_splits()
     assert len(x) == 48 and x[0] == "fw-su_sh_wi" and x[-1] == "wd-su__wd-sh__wd-wi__we-su__we-sh__we-wi"
