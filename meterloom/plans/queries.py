@@ -599,7 +599,8 @@ def trim_to_values(spark, d):
 
 
 @query(f"""WITH {DAILY}, p AS (SELECT meter_id, ts, observed, temperature, CASE WHEN month(day) % 2 = 1 THEN month(day) ELSE month(day) - 1 END * 100 + year(day) AS g FROM daily)
-SELECT meter_id, count(DISTINCT g)::BIGINT - 1 AS bills, round(1.0::DOUBLE, 6) AS weight FROM p GROUP BY 1""")
+, q AS (SELECT meter_id, g, min(ts) AS ts, avg(temperature) AS t FROM p GROUP BY 1, 2), l AS (SELECT *, date_diff('day', lag(ts) OVER (PARTITION BY meter_id ORDER BY ts), ts)::DOUBLE AS days FROM q)
+SELECT meter_id, {TEXT.format('ts')} AS ts, g::DOUBLE AS observed, round(t, 6) AS temperature, days, round(days / sum(days) OVER (PARTITION BY meter_id), 6) AS weight FROM l WHERE days IS NOT NULL""")
 def weighted_bills(spark, d):
     """Two months of equal use at a time as bills, whose weights sum to one."""
     from meterloom.operators import alignment
@@ -607,8 +608,7 @@ def weighted_bills(spark, d):
     month = F.month("day")
     flat = (F.when(month % 2 == 1, month).otherwise(month - 1) * 100 + F.year("day")).cast("double")
     days = daily(spark, d).withColumn("observed", flat)
-    g = alignment.bill_groups(days, 1)
-    return g.groupBy("meter_id").agg(F.count("*").alias("bills"), r(F.sum("weight")).alias("weight"))
+    return alignment.bill_groups(days, 1).select("meter_id", text("ts").alias("ts"), "observed", r("temperature").alias("temperature"), "days", r("weight").alias("weight"))
 
 
 @query(BASE + """, l AS (SELECT *, lag(predicted - observed) OVER (PARTITION BY meter_id ORDER BY ts) AS lr FROM p WHERE day < DATE '1998-01-01'),
