@@ -205,20 +205,23 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["sig", "pivot", "member"])
 
 
-def verify(batches: Iterator[pa.RecordBatch], k: int, p: int, q: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose whole texts have similarity p/q or more."""
+def verify(batches: Iterator[pa.RecordBatch], k: int, p: int, q: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose whole texts have similarity p/q or more, by about `limit` bytes of text, one pair at least."""
     for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            batch = whole.slice(at, rows)
-            n = batch.num_rows
-            sides = [shingle_sets(words(*as_buffers(batch.column(i))), k) for i in (2, 3)]
+        texts = [as_buffers(whole.column(i)) for i in (2, 3)]
+        reach, at = sum(offsets for _, offsets in texts), 0
+        while at < whole.num_rows:
+            to = max(at + 1, int(np.searchsorted(reach, reach[at] + limit, "right")) - 1)
+            n = to - at
+            sides = [shingle_sets(words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]), k) for data, offsets in texts]
             sh, doc = (np.concatenate(x) for x in zip(*sides))
             order = np.lexsort((sh, doc))
             sh, doc = sh[order], doc[order]
             same = (sh[1:] == sh[:-1]) & (doc[1:] == doc[:-1])
             both = np.bincount(doc[1:][same], minlength=n)
             union = np.bincount(doc, minlength=n) - both
-            yield batch.select([0, 1]).filter(pa.array((q * both >= p * union) & (union > 0)))
+            yield whole.select([0, 1]).slice(at, n).filter(pa.array((q * both >= p * union) & (union > 0)))
+            at = to
 
 
 def _within(p: int, q: int):

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,17 @@ def test_similarity_join_odd_tables(spark):
     assert out == {(None, 3): 1, (3, 3): 2, (4, 4): 1}
 
 
+@pytest.mark.parametrize("limit", [1, 50, 1 << 20])
+def test_verification_by_blocks_of_any_size(limit):
+    left = ["a b c d", None, "a b", "", "x " * 500 + "y", "a b c d e f g h i j"]
+    right = ["A b c d", "a b", None, "", "x " * 500 + "z", "a b c d e f g h i k"]
+    ids = pa.array(range(6), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(left, pa.string()), pa.array(right, pa.string())], ["a", "b", "text_a", "text_b"])
+    whole = [pa.RecordBatch.from_arrays(batch.columns, batch.schema.names), batch.slice(3, 3), batch.slice(0, 0)]
+    got = [row["a"] for out in ngram_jaccard.verify(iter(whole), 3, 30, 100, limit) for row in out.to_pylist()]
+    assert got == [0, 4, 5, 4, 5]
+
+
 def test_allocation_tolerates_enough():
     for units in range(1, 60):
         for shared in (0.0, 10.0, 1e6):
