@@ -118,8 +118,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     longest = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
     n, k = scores.shape
-    back = np.zeros((n, k), np.uint8)
-    own = np.arange(k, dtype=np.uint8)
+    own = np.arange(k, dtype=np.min_scalar_type(max(k - 1, 0)))
+    back = np.zeros((n, k), own.dtype)
     v = np.zeros((len(size), k), np.float32)
     final = np.zeros(len(size), np.int64)
     for t in range(longest):
@@ -185,7 +185,8 @@ def identify(docs: DataFrame, penalty: float = 12.0, folds: int = 4, held: int =
     score, the share of the text's letters in spans of that language (0 for `und`).
 
     With spans=True also `spans`, an array of (lang, start, end) in bytes of UTF-8. Without any
-    labelled text everything is `und`. Columns of docs with these names are replaced."""
+    labelled text everything is `und`. Rows that repeat are labelled alike, an empty table gives
+    no rows. Columns of docs with these names are replaced."""
     model = model or fit(docs, folds, held, **fit_options)
     docs = docs.drop("lang_pred", "score", *["spans"] * spans)
     more = [("spans", "array<struct<lang:string,start:bigint,end:bigint>>")] * spans
