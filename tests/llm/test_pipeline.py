@@ -40,3 +40,22 @@ def test_near_copies_with_odd_ids(spark):
 def test_rejected_language(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "the water and stone", "en", "s", 1) for i in range(20)] + [(30, "123 !!", "en", "s", 1), (31, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").collect()} == set(range(20))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA) or not os.path.exists(corpus_pipeline.MODEL), reason="no test tables")
+def test_stages_on_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, copy int, piece_ids string"
+    rows = [(1, "the water and the stone", "en", "s", 1), (1, "the water and the stone", "en", "s", 1), (None, "a stone by the water", None, None, None), (2, "", "en", "s", 0), (3, None, None, None, None)]
+    odd = spark.createDataFrame([(*r, "x", 7, "y") for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (odd, odd.limit(0)):
+        for name in ("toxicity", "language", "mix"):
+            assert set(stages[name](spark, docs, DATA).columns) <= set(docs.columns), name
+    kept = stages["toxicity"](spark, odd, DATA).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r.text): r["count"] for r in kept}[(1, "the water and the stone")] == 2
+    assert len(kept) == 4
+    mixed = {(r.doc_id, r.text): r["count"] for r in stages["mix"](spark, odd, DATA).groupBy("doc_id", "text").count().collect()}
+    assert mixed.get((1, "the water and the stone"), 0) % 2 == 0
+    out = stages["encode"](spark, odd, DATA).collect()
+    assert len(out) == 5 and [r.n_pieces for r in out if r.doc_id in (2, 3)] == [0, 0]
+    assert stages["encode"](spark, odd.limit(0), DATA).count() == 0
