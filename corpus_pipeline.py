@@ -21,13 +21,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go. Null and empty texts score the class prior; repeated rows go or stay alike."""
     scored = toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.where("score < 0.5").select(docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language (no letters, or no text) go."""
+    """Documents without an identified language (no letters, or no text) go; so do all where no text has a known language."""
     return identify(docs).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
 
 
@@ -51,12 +51,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets the same share of a corpus of the same size."""
+    """Every source gets the same share of a corpus of the same size. Null sources are one source; rows alike in doc_id and text get equal counts."""
     return mix_sources(docs, weights=None, size=1.0).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the ids of each text's pieces."""
+    """doc_id, lang, source and the ids of each text's pieces, none for null and empty texts; one row a row."""
     return encode(docs, MODEL).select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
 
