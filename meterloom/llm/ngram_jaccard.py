@@ -20,6 +20,9 @@ components is lost and groups of near copies do not give all their pairs. A pari
 2,048 bits bounds the difference from below and prunes exactly; what is left is verified on
 whole texts.
 
+Entries travel in squeezed arrays to shards that are ranges of signatures, and what a step has
+shuffled is freed before the next one: a step's shuffle, not those of all, takes up disk.
+
 Sets are named by a 64-bit hash of their content.
 """
 
@@ -33,12 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import U64, as_buffers, blocks, cut, drop_cut, mix, mix_int, shingle_sets, signed, sums_by, words
+from meterloom.llm.common import U64, as_buffers, blocks, cut, drop_cut, freed, mix, mix_int, shingle_sets, signed, sums_by, words
 from meterloom.llm.components import components
+from meterloom.llm.exchange import COLUMNS, SCHEMA, batches_of, by_shard, expand, message, squeeze
 
 GROWTH = 1.5
 SKETCH = 32  # words of 64 bits
 PAIR_COST, AGREE = 2.0, 0.05
+#: Signatures are cut to so many bits. Those that agree by chance give pairs that the sketch or the texts rule out.
+SIG_BITS = 48
+SHARD = 1 << 21  # about so many entries a shard
+OPEN, MET = range(2)
 PART = 1024  # members of an entry in one part of the last round
 
 
@@ -141,24 +149,31 @@ def signatures(sh: np.ndarray, doc: np.ndarray, n_docs: int, plan: list[tuple[in
     return np.concatenate(sigs), np.concatenate(docs)
 
 
-def index_entries(batches: Iterator[pa.RecordBatch], k: int, plan: list[tuple[int, int, int]], p: int, q: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """(sig, pivot, member): entries that meet here are joined to one pivot, which alone goes on under the signature."""
+def index_entries(batches: Iterator[pa.RecordBatch], k: int, plan: list[tuple[int, int, int]], p: int, q: int, shards: int, most: int = 1 << 20) -> Iterator[tuple]:
+    """Entries for the shards of their signatures: those that meet here are joined to one pivot, which alone goes
+    on under the signature (OPEN); the others go along beside their pivot (MET), dealt by signature and member."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        sig, member = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+    def flush() -> Iterator[tuple]:
+        sig, member = np.concatenate([x for x, _ in held]) >> U64(64 - SIG_BITS), np.concatenate([x for _, x in held])
         held.clear()
         order = np.lexsort((member, sig))
-        sig, member = sig[order], member[order]
+        sig, member = sig[order].astype(np.int64), member[order]
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
         fresh = new.copy()
         fresh[1:] |= member[1:] != member[:-1]
         pivot = member[np.flatnonzero(new)][np.cumsum(new) - 1]
-        sig, member, pivot = sig[fresh], member[fresh], pivot[fresh]
-        for at in range(0, len(sig), 1 << 16):
-            to = at + (1 << 16)
-            yield pa.RecordBatch.from_arrays([signed(sig[at:to]), signed(pivot[at:to]), signed(member[at:to])], ["sig", "pivot", "member"])
+        met = fresh & ~new
+        # Signatures are even over their range, so a range of them is a shard.
+        ends = np.searchsorted(sig[new] * shards >> SIG_BITS, np.arange(shards + 1))
+        for i in np.flatnonzero(np.diff(ends)):
+            at = slice(ends[i], ends[i + 1])
+            yield message(OPEN, int(i), 0, *packed_entries(sig[new][at], member[new][at]))
+        sig, member, pivot = sig[met], member[met], pivot[met]
+        to = (mix(member.view(U64) ^ mix(sig.astype(U64))) % U64(shards)).astype(np.int64)
+        for i, place in by_shard(to, shards):
+            yield message(MET, i, 0, *packed_entries(sig[place], member[place], pivot[place]))
 
     for batch, data, offsets in blocks(batches, "text"):
         sh, doc = shingle_sets(words(data, offsets), k)
@@ -179,30 +194,46 @@ def index_entries(batches: Iterator[pa.RecordBatch], k: int, plan: list[tuple[in
         yield from flush()
 
 
-def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by signature, those that are not alone, each beside the least member as pivot."""
-    last_sig = last_member = pivot = None
-    for batch in batches:
-        sig, pv, member = (batch.column(i).to_numpy() for i in range(3))
-        if not len(sig):
-            continue
-        local = pv != member
-        out = [(sig[local], pv[local], member[local])]
-        sig, member = sig[~local], member[~local]
-        if len(sig):
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            runs = member[np.flatnonzero(new)]
-            if last_sig is not None and sig[0] == last_sig:
-                runs[0] = pivot
-            pivots = runs[np.cumsum(new) - 1]
-            again = np.zeros(len(sig), bool)
-            again[1:] = ~new[1:] & (member[1:] == member[:-1])
-            again[0] = last_sig is not None and sig[0] == last_sig and member[0] == last_member
-            on = (pivots != member) & ~again
-            out.append((sig[on], pivots[on], member[on]))
-            last_sig, last_member, pivot = sig[-1], member[-1], pivots[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["sig", "pivot", "member"])
+def packed_entries(sig: np.ndarray, *members: np.ndarray) -> tuple[bytes, ...]:
+    """Entries sorted by signature: signatures, distinct members, and the places of each entry's members among these."""
+    names, place = np.unique(np.concatenate(members), return_inverse=True)
+    return squeeze(sig, True), names.astype("<i8").tobytes(), *(squeeze(x) for x in place.reshape(len(members), -1))
+
+
+def unpacked_entries(sig: bytes, names: bytes, *places: bytes) -> tuple[np.ndarray, ...]:
+    known = np.frombuffer(names, "<i8")
+    return expand(sig, True), *(known[expand(x)] for x in places)
+
+
+def stars(rows: list[tuple]) -> pa.Table:
+    """A shard's entries that are not alone, each beside the least member as pivot; and those that met one before."""
+    none = np.zeros(0, np.int64)
+    opened = [unpacked_entries(*r[4:7]) for r in rows if r[0] == OPEN]
+    sig, member = (np.concatenate([none, *x]) for x in zip(*opened)) if opened else (none, none)
+    order = np.lexsort((member, sig))
+    sig, member = sig[order], member[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    pivot = member[new][np.cumsum(new) - 1]
+    on = pivot != member
+    on[1:] &= new[1:] | (member[1:] != member[:-1])
+    out = [(sig[on], pivot[on], member[on])]
+    for r in rows:
+        if r[0] == MET:
+            sig, member, pivot = unpacked_entries(*r[4:8])
+            out.append((sig, pivot, member))
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["sig", "pivot", "member"])
+
+
+def expected_entries(nodes: DataFrame, plan: list[tuple[int, int, int]]) -> int:
+    """About how many entries the sets make, twice as many as in their own bands."""
+    lows, out = np.array([low for low, _, _ in plan] or [1]), 0.0
+    by_size = nodes.groupBy(F.floor(F.log(F.col("n") + 0.5) / np.log(GROWTH)).alias("b")).agg(F.count("*").alias("c"), F.avg("n").alias("n")).collect()
+    for r in by_size:  # a row for each band of sizes
+        if plan:
+            _, d, e = plan[max(int(np.searchsorted(lows, r.n, "right")) - 1, 0)]
+            out += 2 * r.c * (e + d + r.n * d / max(d + e, 1))
+    return int(out)
 
 
 def verify(batches: Iterator[pa.RecordBatch], k: int, p: int, q: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -244,15 +275,20 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     limit, shared = nodes.groupBy("least").agg(F.count("*").alias("c"), F.max("n").alias("n")).agg(F.max("n"), F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c")).first()
     plan = schemes(int(limit or 0) * q // p + 1, p, q, float(shared or 0), force_deletions)
 
-    entries = docs.mapInArrow(lambda x: index_entries(x, k, plan, p, q), "sig long, pivot long, member long")
-    route = F.when(F.col("pivot") == F.col("member"), F.xxhash64("sig")).otherwise(F.xxhash64("sig", "member"))
-    stars_of = cut(entries.withColumn("route", route).repartition("route").drop("route").sortWithinPartitions("sig", "member").mapInArrow(stars, "sig long, pivot long, member long"))
+    shards = expected_entries(nodes, plan) // SHARD + 1
+    entries = docs.mapInArrow(lambda x: batches_of(index_entries(x, k, plan, p, q, shards)), SCHEMA)
+
+    def gather(group: pa.Table) -> pa.Table:
+        return stars(list(zip(*(group.column(f).to_pylist() for f in ("kind", "dst", "src", "n", *COLUMNS)))))
+
+    dealt = entries.repartition(max(shards, min(2 * shards, 64)), "dst")
+    stars_of = freed(cut(dealt.groupBy("dst").applyInArrow(gather, "sig long, pivot long, member long")))
 
     def side(name: str, key: str) -> DataFrame:
         return involved.select(F.col("set_id").alias(key), F.col("n").alias(f"{name}_n"), *(F.col(s).alias(f"{name}_{s}") for s in sketch))
 
     def pruned(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(_within(p, q)).select("a", "b"))
+        return freed(cut(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(_within(p, q)).select("a", "b")))
 
     # Where ids tell rows apart, a set's least doc_id names one text; elsewhere one of its rows is picked.
     repeated = not sets.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty()
@@ -261,7 +297,7 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     def verified(pairs: DataFrame) -> DataFrame:
         ta = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
         tb = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-        return cut(pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda x: verify(x, k, p, q), "a long, b long"))
+        return freed(cut(pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda x: verify(x, k, p, q), "a long, b long")))
 
     def named(x: DataFrame) -> DataFrame:
         return x.select(F.least("pivot", "member").alias("a"), F.greatest("pivot", "member").alias("b"))
@@ -276,12 +312,12 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
         wanted = nodes.join(ids, "set_id", "left_semi").select(F.col("doc_id").alias("want")).distinct()
         found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
         found = found.mapInArrow(lambda x: with_names(x, k), "set_id long, text string")
-        return cut(found.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]) if repeated else found)
+        return freed(cut(found.join(ids, "set_id", "left_semi").dropDuplicates(["set_id"]) if repeated else found))
 
     texts = fetch(needed)
     # The first tests take one partner of each set, then those between components that remain.
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    labels = components(links)
+    labels = freed(components(links))
 
     def open_rows(x: DataFrame, a: str, b: str) -> DataFrame:
         la = labels.select(F.col("node").alias(a), F.col("component").alias("ca"))
@@ -291,7 +327,7 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     more = verified(open_rows(pairs, "a", "b").select("a", "b"))
     if not more.isEmpty():
         links = links.union(more)
-        labels = components(links)
+        labels = freed(components(links))
     # Entries that still hold several components: members outside the main one meet a varied member
     # of it, as long as that gives links, and then every member of another component.
     turn, last = 0, False
@@ -299,7 +335,7 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
         left = open_rows(stars_of, "pivot", "member").select("sig").distinct()
         held = stars_of.join(left, "sig", "left_semi")
         held = held.select("sig", F.col("pivot").alias("m")).union(held.select("sig", F.col("member").alias("m"))).distinct()
-        held = cut(held.join(labels.select(F.col("node").alias("m"), "component"), "m", "left").withColumn("component", F.coalesce("component", "m")))
+        held = freed(cut(held.join(labels.select(F.col("node").alias("m"), "component"), "m", "left").withColumn("component", F.coalesce("component", "m"))))
         by_part = held.groupBy("sig", "component").agg(F.count("*").alias("c"), F.max(F.struct(F.xxhash64("m", "sig", F.lit(turn)).alias("h"), "m"))["m"].alias("some"))
         main = by_part.groupBy("sig").agg(F.max(F.struct("c", "component", "some")).alias("main"), F.sum("c").alias("all")).where("all > 2").select("sig", "main.component", "main.some", (F.floor(F.col("all") / PART) + 1).alias("parts"))
         outside = held.join(main.withColumnRenamed("component", "mc"), "sig").where("component != mc").select("sig", F.col("m").alias("x"), F.col("component").alias("cx"), "some", "parts")
@@ -320,7 +356,7 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
         found = more is not None and not more.isEmpty()
         if found:
             links = links.union(more)
-            labels = components(links)
+            labels = freed(components(links))
         if last:
             break
         turn += 1
