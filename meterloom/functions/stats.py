@@ -92,7 +92,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 
 
 def t_quantile(p: float, df: float) -> float:
-    """Student's t quantile, by bisection."""
+    """Student's t quantile, by Newton steps between bounds that bisection tightens."""
     if not 0 < p < 1 or not df > 0:
         return math.nan
     if p < 0.5:
@@ -104,10 +104,18 @@ def t_quantile(p: float, df: float) -> float:
     low, high = 0.0, 1.0
     while below(high) < p:
         high *= 2
+    front = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    t = (low + high) / 2
     for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if below(mid) < p else (low, mid)
-    return (low + high) / 2
+        miss = below(t) - p
+        low, high = (t, high) if miss < 0 else (low, t)
+        density = front * (1 + t * t / df) ** (-(df + 1) / 2)
+        step = t - miss / density if density > 0 else low
+        step = step if low < step < high else (low + high) / 2
+        if abs(step - t) <= 1e-15 * high or step in (low, high):
+            return step
+        t = step
+    return t
 
 
 def t_value(alpha: float, n: float, tail: int = 2) -> float:

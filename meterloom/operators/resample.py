@@ -40,11 +40,12 @@ def sum_by(df: DataFrame, step: str, value: str = "value", keys=KEY, ts: str = "
     return df.groupBy(*keys, bucket(ts, step).alias(ts)).agg(F.sum(value).alias(value))
 
 
-def spread(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts: str = "ts", coverage: bool = False) -> DataFrame:
+def spread(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts: str = "ts", coverage: bool = False, during: tuple[str, str] | None = None) -> DataFrame:
     """Readings of [ts, next ts) spread evenly over time and summed by day or hour.
 
     The last reading of a meter only ends the one before. A bucket is null when no time in it has a
-    value. With coverage, also the share of the bucket that has one."""
+    value. With coverage, also the share of the bucket that has one. during (first and last date)
+    gives the buckets of these days only, without making those of others."""
     w = in_order(keys, ts)
     parts = df.select(*keys, wall(ts).alias("_a"), wall(F.lead(ts).over(w)).alias("_b"), F.col(value).alias("_v")).where("_b is not null")
     size, one = {"hour": 3600.0, "day": 86400.0}[step], F.expr(STEPS[step])
@@ -52,13 +53,19 @@ def spread(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts:
     # Buckets that one reading fills are its own and need no sum; only those at its ends are shared.
     parts = parts.withColumns({"_fa": F.when(low == F.col("_a"), low).otherwise(low + one), "_fb": high})
     rate = F.try_divide(F.col("_v"), seconds("_b") - seconds("_a"))
-    whole = parts.where("_fa < _fb").select(*keys, F.explode(F.sequence(F.col("_fa"), F.col("_fb") - one, one)).alias(ts), (rate * size).alias(value), F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0).alias("coverage"))
+    first, after = F.col("_fa"), F.col("_fb")
+    if during:
+        start, end = (F.lit(x).cast("date").cast("timestamp_ntz") for x in during)
+        end = end + F.expr(STEPS["day"])
+        parts = parts.where((F.col("_b") > start) & (F.col("_a") < end))
+        first, after = F.greatest(first, start), F.least(after, end)
+    whole = parts.where(first < after).select(*keys, F.explode(F.sequence(first, after - one, one)).alias(ts), (rate * size).alias(value), F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0).alias("coverage"))
     head = F.struct(low.alias("t"), (seconds(F.least("_fa", "_b")) - seconds("_a")).alias("held"))
     tail = F.struct(high.alias("t"), (seconds("_b") - seconds("_fb")).alias("held"))
     edges = F.array_compact(F.array(F.when(F.col("_a") < F.col("_fa"), head), F.when((F.col("_fb") < F.col("_b")) & (F.col("_fb") >= F.col("_fa")), tail)))
     shared = parts.withColumn("_e", F.explode(edges)).select(*keys, F.col("_e.t").alias(ts), (rate * F.col("_e.held")).alias("_x"), F.when(F.col("_v").isNotNull(), F.col("_e.held")).otherwise(0.0).alias("_h"))
     shared = shared.groupBy(*keys, ts).agg(F.sum("_x").alias(value), (F.sum("_h") / size).alias("coverage"))
-    out = whole.unionByName(shared)
+    out = whole.unionByName(shared.where((F.col(ts) >= start) & (F.col(ts) < end)) if during else shared)
     return out if coverage else out.drop("coverage")
 
 
