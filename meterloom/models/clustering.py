@@ -34,17 +34,23 @@ def two_means(x: np.ndarray, rng: np.random.Generator, tries: int = 3, rounds: i
     for _ in range(tries):
         first = x[rng.integers(len(x))]
         gap = ((x - first) ** 2).sum(1)
-        second = x[rng.choice(len(x), p=gap / gap.sum())] if gap.sum() > 0 else first
+        whole = gap.sum()
+        second = x[rng.choice(len(x), p=gap / whole)] if whole > 0 else first
         centres = np.stack([first, second])
         for _ in range(rounds):
-            label = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
-            new = np.stack([x[label == i].mean(0) if (label == i).any() else centres[i] for i in (0, 1)])
-            if np.allclose(new, centres):
+            apart = ((x - centres[:, None]) ** 2).sum(2)
+            label = apart[1] < apart[0]
+            n = int(label.sum())
+            if not 0 < n < len(x):
+                new = np.stack([x.mean(0), centres[1]] if not n else [centres[0], x.mean(0)])
+            else:
+                new = np.stack([x[~label].sum(0) / (len(x) - n), x[label].sum(0) / n])
+            if (np.abs(new - centres) <= 1e-8 + 1e-5 * np.abs(centres)).all():
                 break
             centres = new
-        inertia = ((x - centres[label]) ** 2).sum()
+        inertia = float(((x - centres[label.astype(int)]) ** 2).sum())
         if best is None or inertia < best[0]:
-            best = inertia, label
+            best = inertia, label.astype(int)
     return best[1]
 
 
@@ -66,13 +72,15 @@ def bisecting(x: np.ndarray, most: int, rng: np.random.Generator) -> dict[int, n
 
 def variance_ratio(x: np.ndarray, label: np.ndarray) -> float:
     """Negated ratio of the variance between clusters to that within: smaller is better."""
-    ids = np.unique(label)
+    ids, at, size = np.unique(label, return_inverse=True, return_counts=True)
     n, k = len(x), len(ids)
     if k < 2 or k >= n:
         return np.inf
-    mean = x.mean(0)
-    between = sum((label == i).sum() * ((x[label == i].mean(0) - mean) ** 2).sum() for i in ids)
-    within = sum(((x[label == i] - x[label == i].mean(0)) ** 2).sum() for i in ids)
+    means = np.zeros((k, x.shape[1]))
+    np.add.at(means, at, x)
+    means /= size[:, None]
+    between = (size * ((means - x.mean(0)) ** 2).sum(1)).sum()
+    within = ((x - means[at]) ** 2).sum()
     return -np.inf if within == 0 else -(between / (k - 1)) / (within / (n - k))
 
 

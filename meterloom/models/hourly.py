@@ -68,41 +68,53 @@ def elastic_net(x: np.ndarray, y: np.ndarray, s: HourlySettings, weights: np.nda
     """(coefficients by target, intercepts): accelerated proximal gradient steps on the Gram matrix, all targets at once.
 
     Minimises |y - xb|^2 / 2n + alpha l1 |b|_1 + alpha (1 - l1) |b|^2 / 2, means taken out first. A step is
-    one product of matrices. Steps end when no step moves a coefficient by more than a share of the largest,
+    one product of matrices, with x and its transpose in turn where days are fewer than half the features. Columns
+    without variance have coefficients of 0. Steps end when no step moves a coefficient by more than a share of the largest,
     which leaves the distance to the minimum within tol of it (see optimality)."""
-    g, q, mx, my = _moments(x, y, weights)
+    xc, yc, mx, my = _centred(x, y, weights)
+    varied = np.flatnonzero(np.ptp(x, axis=0) > 0)
+    xc = xc[:, varied]
+    q, few = xc.T @ yc, 2 * len(xc) < xc.shape[1]
     l1, l2 = s.alpha * s.l1_ratio, s.alpha * (1 - s.l1_ratio)
-    values = np.linalg.eigvalsh(g)
+    if few:
+        values = np.concatenate([[0.0], np.linalg.eigvalsh(xc @ xc.T)])
+        back = np.ascontiguousarray(xc.T)
+        product = lambda b: back @ (xc @ b)
+    else:
+        g = xc.T @ xc
+        values = np.linalg.eigvalsh(g) if len(g) else np.zeros(1)
+        product = lambda b: g @ b
     step = 1 / (max(float(values[-1]), 0.0) + l2 or 1.0)
     mu = max(float(values[0]), 0.0) + l2
     root = np.sqrt(mu * step)
     speed = (1 - root) / (1 + root)
-    b = ahead = np.zeros((x.shape[1], y.shape[1]))
+    b = ahead = np.zeros((len(varied), y.shape[1]))
     for _ in range(20 * s.max_iter):
-        z = ahead + step * (q - g @ ahead - l2 * ahead)
-        new = np.sign(z) * np.maximum(np.abs(z) - step * l1, 0)
+        z = (1 - step * l2) * ahead + step * (q - product(ahead))
+        new = z - np.clip(z, -step * l1, step * l1)
         moved = float(np.abs(new - ahead).max(initial=0.0))
         ahead, b = new + speed * (new - b), new
         if moved <= s.tol * root * max(float(np.abs(b).max(initial=0.0)), 1e-12):
             break
-    return b.T, my - mx @ b
+    whole = np.zeros((x.shape[1], y.shape[1]))
+    whole[varied] = b
+    return whole.T, my - mx @ whole
 
 
-def _moments(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Weighted covariances of x and of x with y, and their means."""
+def _centred(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """x and y less their weighted means, times the roots of the weights, and these means."""
     w = np.full(len(x), 1 / len(x)) if weights is None else weights / weights.sum()
-    mx, my = w @ x, w @ y
-    xc, yc = x - mx, y - my
-    return (xc * w[:, None]).T @ xc, (xc * w[:, None]).T @ yc, mx, my
+    mx, my, root = w @ x, w @ y, np.sqrt(w)[:, None]
+    return (x - mx) * root, (y - my) * root, mx, my
 
 
 def optimality(x: np.ndarray, y: np.ndarray, coef: np.ndarray, s: HourlySettings, weights: np.ndarray | None = None) -> float:
     """How far the coefficients are from meeting the conditions of the minimum, 0 at the minimum itself:
     the gradient's distance from the penalty's slopes."""
-    g, q, _, _ = _moments(x, y, weights)
+    xc, yc, _, _ = _centred(x, y, weights)
     l1, l2 = s.alpha * s.l1_ratio, s.alpha * (1 - s.l1_ratio)
     b = coef.T
-    slope = q - g @ b - l2 * b
+    slope = xc.T @ (yc - xc @ b) - l2 * b
     off = np.where(b != 0, np.abs(slope - l1 * np.sign(b)), np.maximum(np.abs(slope) - l1, 0))
     return float(off.max(initial=0.0))
 
