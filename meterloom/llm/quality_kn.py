@@ -1,8 +1,8 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 N-grams are of five UTF-8 bytes. Raw counts of the highest order and continuation counts of the
-orders below come from a bounded sample of trusted documents (`sample` rows, those with the
-smallest hashes of their doc_id), counted on the cluster by key. Each order has the three
+orders below come from all trusted documents but those kept for the thresholds, counted on the
+cluster by key. Each order has the three
 discounts of modified Kneser-Ney from its counts of counts; probabilities are interpolated down
 to a uniform distribution over bytes.
 
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import U64, as_buffers, blocks, cut, drop_cut, mix, schema_with, signed
+from meterloom.llm.common import U64, as_buffers, blocks, cut, drop_cut, freed, mix, schema_with, signed
 from meterloom.llm.exchange import SCHEMA, batches_of, by_shard, each, expand, message, squeeze, stage
 
 START = 0xFF  # never a byte of UTF-8
@@ -144,13 +144,11 @@ def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield message(GRAMS, i, 0, squeeze(key[place]), squeeze(n[place]))
 
 
-def fit(docs: DataFrame, trusted: DataFrame, sample: int = 4000) -> tuple[DataFrame, Low]:
-    """(counts by shard, the two lowest orders), from the texts of up to `sample` of the trusted doc_ids."""
-    chosen = trusted.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(sample)
-    # At most `sample` ids.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+def fit(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, Low]:
+    """(counts by shard, the two lowest orders), from the texts of all of the trusted doc_ids."""
+    rows = docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text")
     counts = rows.mapInArrow(gram_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    made = cut(stage([counts.mapInArrow(lambda x: batches_of(to_shards(x)), SCHEMA)], gather, SHARDS))
+    made = freed(cut(stage([counts.mapInArrow(lambda x: batches_of(to_shards(x)), SCHEMA)], gather, SHARDS)))
     # At most 65,536 pairs of bytes, and twelve counts.
     small = made.where(F.col("kind") != GRAMS).groupBy("kind", "dst", "src").agg(F.sum("n").alias("n")).collect()
     of_counts = {k: [0] * 5 for k in range(3, ORDER + 1)}
@@ -206,7 +204,7 @@ def perplexities(rows: list[tuple]) -> pa.Table:
     return docs.drop_columns(["text"]).append_column("perplexity", found)
 
 
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.1, sample: int = 4000, block: int = 4 << 20) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.1, block: int = 4 << 20) -> DataFrame:
     """The rows of docs (doc_id, text, lang and others) but their text, with perplexity by byte, threshold and keep.
 
     Null and empty texts have no perplexity and aren't kept. A language's threshold is `slack` times
@@ -217,7 +215,7 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack:
     trusted = trusted.select("doc_id").where("doc_id is not null").distinct()
     unseen = F.pmod(F.xxhash64("doc_id", F.lit(81)), F.lit(4)) == 0
     docs = docs.drop("perplexity", "threshold", "keep")
-    counts, low = fit(docs, trusted.where(~unseen), sample)
+    counts, low = fit(docs, trusted.where(~unseen))
     packed = cut(docs.mapInArrow(lambda x: batches_of(pack(x, block)), SCHEMA))
     n_blocks = packed.count()
     copies = n_blocks // 64 + 1
