@@ -272,6 +272,8 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     sketch = [f"s{i}" for i in range(SKETCH)]
     sets = cut(docs.mapInArrow(lambda x: describe(x, k), "doc_id long, n long, set_id long, least long, " + ", ".join(f"{s} long" for s in sketch)))
     nodes = cut(sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "least", *sketch))))
+    described, sets = sets, cut(sets.select("doc_id", "n", "set_id"))  # the sketches go on with the nodes alone
+    drop_cut(described)
     limit, shared = nodes.groupBy("least").agg(F.count("*").alias("c"), F.max("n").alias("n")).agg(F.max("n"), F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c")).first()
     plan = schemes(int(limit or 0) * q // p + 1, p, q, float(shared or 0), force_deletions)
 
@@ -306,6 +308,7 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     near = cut(named(stars_of).distinct())
     involved = cut(nodes.join(near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct(), "set_id", "left_semi"))
     pairs = pruned(near)
+    drop_cut(near)
     needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id")
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -365,8 +368,7 @@ def join_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, force_d
     joined = nodes.select("set_id", F.col("doc_id").alias("least_id")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = cut(joined.join(smallest, "component").select("set_id", "component_id"))
-    for x in (stars_of, near, pairs):
-        drop_cut(x)
+    drop_cut(stars_of, pairs, nodes, involved, texts, links, labels)
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
     return rows.join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
