@@ -144,9 +144,16 @@ def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield message(GRAMS, i, 0, squeeze(key[place]), squeeze(n[place]))
 
 
+def rows_of(docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """The rows of docs whose doc_id is one of ids. Up to `most` ids go along with the tasks, whatever Spark takes their
+    size to be, so texts stay where they are; with more, both sides are shuffled if Spark's threshold says so."""
+    few = ids.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def fit(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, Low]:
     """(counts by shard, the two lowest orders), from the texts of all of the trusted doc_ids."""
-    rows = docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text")
+    rows = rows_of(docs.select("doc_id", "text"), trusted).select("text")
     counts = rows.mapInArrow(gram_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     made = freed(cut(stage([counts.mapInArrow(lambda x: batches_of(to_shards(x)), SCHEMA)], gather, SHARDS)))
     # At most 65,536 pairs of bytes, and twelve counts.
