@@ -6,16 +6,21 @@ read as the next stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import cut, table
+from meterloom.llm.common import cut, relieved, table
 from meterloom.llm.language_id import UNKNOWN, identify
 from meterloom.llm.ngram_jaccard import join_classes
 from meterloom.llm.piece_transducer import encode
 from meterloom.llm.poisson_mix import mix_sources
 from meterloom.llm.toxicity import toxicity
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,12 +65,23 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return encode(docs, MODEL).select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
 
+def _fresh(stage: Stage) -> Stage:
+    """stage, begun with executors' heaps free of what earlier stages have left."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        relieved(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("language", keep_languages),
-    ("near_copies", drop_near_copies),
-    ("mix", mix),
-    ("encode", encode_pieces),
+    ("toxicity", _fresh(drop_toxic)),
+    ("language", _fresh(keep_languages)),
+    ("near_copies", _fresh(drop_near_copies)),
+    ("mix", _fresh(mix)),
+    ("encode", _fresh(encode_pieces)),
 ]
 
 #: Classifiers, the similarity join and the encoding aren't SQL; tests hold them against brute force.
