@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Rows that are read before their meters are fitted, and cells of one matrix of meters by days.
-ROWS, CELLS = 400_000, 400_000
+#: Days of the meters that are fitted together, if they are several, and cells of one matrix of meters by days.
+DAYS, CELLS = 200_000, 200_000
 
 
 def _count(t: np.ndarray, x: np.ndarray, equal: bool) -> np.ndarray:
@@ -138,9 +138,25 @@ def response_of(t: np.ndarray, f: dict[str, np.ndarray]) -> np.ndarray:
         return np.where(flat, b0, np.where(heat, -hs * (t - hb) + b0, np.where(cool, cs * (t - cb) + b0, b0)))
 
 
-def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, whether they aren't null)."""
-    return pc.fill_null(column, 0.0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+class Weather:
+    """Temperatures by day, from rows of (days since 1970, temperature)."""
+
+    def __init__(self, rows: list):
+        rows = [x for x in rows if x[0] is not None]
+        day = np.array([x[0] for x in rows], dtype=np.int64)
+        if len(np.unique(day)) < len(day):
+            raise ValueError("weather has more than one row for a day")
+        self.start = int(day.min()) if len(day) else 0
+        self.value = np.full(int(day.max()) - self.start + 2 if len(day) else 1, np.nan)
+        self.there = np.zeros(len(self.value), dtype=bool)
+        self.value[day - self.start] = [np.nan if x[1] is None else x[1] for x in rows]
+        self.there[day - self.start] = [x[1] is not None for x in rows]
+
+    def at(self, day: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(temperatures, whether there are any)."""
+        i = day - self.start
+        i = np.where((i < 0) | (i >= len(self.value)), len(self.value) - 1, i)  # the last place is empty
+        return self.value[i], self.there[i]
 
 
 def _sums(x: np.ndarray, there: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -168,49 +184,55 @@ def _fits(t: np.ndarray, y: np.ndarray, n: np.ndarray, s, least: int = 3) -> dic
     return out
 
 
-def _months(rows: pa.Table, months: int, s) -> pa.RecordBatch:
-    """(key, month, observed, predicted) of whole meters whose rows stand together."""
-    key, day, t, y = (rows.column(i).combine_chunks() for i in range(4))
+def _months(key: pa.Array, first: np.ndarray, last: np.ndarray, value: pa.Array, weather: Weather, months: int, s) -> list[pa.Array]:
+    """(key, month, observed, predicted) of whole meters whose runs of days stand together."""
     runs = pc.run_end_encode(key)
     ends = runs.run_ends.to_numpy().astype(np.int64)
-    count = np.diff(ends, prepend=0)
-    first, meter = ends - count, np.repeat(np.arange(len(ends)), count)
-    (t, has_t), (y, has_y) = _numbers(t), _numbers(y)
+    starts, held = np.append(0, ends[:-1]), last - first + 1
+    meter = np.repeat(np.arange(len(ends)), np.add.reduceat(held, starts))
+    day = np.arange(len(meter)) + np.repeat(first - (np.cumsum(held) - held), held)
+    t, has_t = weather.at(day)
+    y = np.repeat(pc.fill_null(value, 0.0).to_numpy(zero_copy_only=False), held)
+    has_y = np.repeat(value.is_valid().to_numpy(zero_copy_only=False), held)
     good = has_t & has_y & np.isfinite(t) & np.isfinite(y)
-    n = np.add.reduceat(good.astype(np.int64), first)
+    n = np.bincount(meter[good], minlength=len(ends))
     fits = _fits(t[good], y[good], n, s)
     fitted = (n >= 3) & runs.values.is_valid().to_numpy(zero_copy_only=False)
     predicted = response_of(t, {c: x[meter] for c, x in fits.items()})
-    dated = day.is_valid().to_numpy(zero_copy_only=False)
-    month = pc.fill_null(day.view(pa.int32()), 0).to_numpy().astype("datetime64[D]").astype("datetime64[M]").astype(np.int64)
-    start = np.minimum.reduceat(np.where(dated, month, np.iinfo(np.int64).max), first)
-    # Days without a date are a group of their own, as null is among months.
-    group = np.where(dated, (month - start[meter]) // months, -1)
+    month = day.astype("datetime64[D]").astype("datetime64[M]").astype(np.int64)
+    start = np.minimum.reduceat(month, np.flatnonzero(np.diff(meter, prepend=-1)))
+    group = (month - start[meter]) // months
     if ((np.diff(group) < 0) & (np.diff(meter) == 0)).any():
         order = np.lexsort((group, meter))
         meter, group, y, has_y, predicted, has_t = (x[order] for x in (meter, group, y, has_y, predicted, has_t))
-    starts = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(meter) != 0)))
-    of, group = meter[starts], group[starts]
-    when = np.where(group < 0, 0, start[of] + group * months).astype("datetime64[M]").astype("datetime64[D]")
-    return pa.record_batch([runs.values.take(pa.array(of)), pa.array(when, mask=group < 0), _sums(y, has_y, starts), _sums(predicted, has_t & fitted[meter], starts)], names=[rows.column_names[0], "month", "observed", "predicted"])
-
+    at = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(meter) != 0)))
+    of = meter[at]
+    when = (start[of] + group[at] * months).astype("datetime64[M]").astype("datetime64[D]")
+    return [runs.values.take(pa.array(of)), pa.array(when), _sums(y, has_y, at), _sums(predicted, has_t & fitted[meter], at)]
+
+
+def months_of_meters(batches: Iterator[pa.RecordBatch], weather: Weather, months: int, s) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, first, last, value), runs of days with one use, a meter's together, to sums by meter and months."""
+    kept = []
+
+    def fitted(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        """The whole meters of rows, some at a time; the last meter stays in `kept` where more of it may follow."""
+        key, a, b, value = (rows.column(i).combine_chunks() for i in range(4))
+        a, b = (x.view(pa.int32()).to_numpy().astype(np.int64) for x in (a, b))
+        ends = pc.run_end_encode(key).run_ends.to_numpy().astype(np.int64)
+        total, at = np.cumsum(b - a + 1)[ends - 1], 0
+        until = len(ends) if last else len(ends) - 1
+        while at < until:
+            to = int(np.searchsorted(total, (total[at - 1] if at else 0) + DAYS, side="right"))
+            to = min(max(to, at + 1), until)
+            low, size = int(ends[at - 1]) if at else 0, int(ends[to - 1] - (ends[at - 1] if at else 0))
+            part = slice(low, low + size)
+            yield pa.record_batch(_months(key.slice(low, size), a[part], b[part], value.slice(low, size), weather, months, s), names=[rows.column_names[0], "month", "observed", "predicted"])
+            at = to
+        kept[:] = [] if last else rows.slice(int(ends[until - 1]) if until else 0).to_batches()
 
-def months_of_meters(batches: Iterator[pa.RecordBatch], months: int, s) -> Iterator[pa.RecordBatch]:
-    """Batches of (key, day, temperature, observed), a meter's rows together, to sums by meter and months."""
-    kept, size = [], 0
     for batch in batches:
         if batch.num_rows:
-            kept.append(batch)
-            size += batch.num_rows
-        if size < ROWS:
-            continue
-        rows = pa.Table.from_batches(kept)
-        # The last meter may go on in the next batch.
-        ends = pc.run_end_encode(rows.column(0).combine_chunks()).run_ends
-        whole = ends[len(ends) - 2].as_py() if len(ends) > 1 else 0
-        if whole:
-            yield _months(rows.slice(0, whole), months, s)
-            rest = rows.slice(whole)
-            kept, size = rest.to_batches(), rest.num_rows
-    if size:
-        yield _months(pa.Table.from_batches(kept), months, s)
+            yield from fitted(pa.Table.from_batches([*kept, batch]), False)
+    if kept:
+        yield from fitted(pa.Table.from_batches(kept), True)

@@ -40,13 +40,27 @@ def sum_by(df: DataFrame, step: str, value: str = "value", keys=KEY, ts: str = "
     return df.groupBy(*keys, bucket(ts, step).alias(ts)).agg(F.sum(value).alias(value))
 
 
-def spread(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts: str = "ts", coverage: bool = False, during: tuple[str, str] | None = None, together: bool = False) -> DataFrame:
+def spread(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts: str = "ts", coverage: bool = False, during: tuple[str, str] | None = None) -> DataFrame:
     """Readings of [ts, next ts) spread evenly over time and summed by day or hour.
 
     The last reading of a meter only ends the one before. A bucket is null when no time in it has a
     value. With coverage, also the share of the bucket that has one. during (first and last date)
-    gives the buckets of these days only, without making those of others. With together, a meter's
-    buckets stand one after another in one partition: readings are dealt, not the buckets made of them."""
+    gives the buckets of these days only, without making those of others."""
+    whole, shared = _spread(df, step, value, keys, ts, during)
+    whole = whole.select(*keys, F.explode(F.sequence("first", "last", F.expr(STEPS[step]))).alias(ts), value, "coverage")
+    out = whole.unionByName(shared)
+    return out if coverage else out.drop("coverage")
+
+
+def spread_runs(df: DataFrame, value: str = "value", keys=KEY, ts: str = "ts", during: tuple[str, str] | None = None) -> DataFrame:
+    """spread() by day as runs of days of one value, with first and last date: a row or two for a reading, not one for a day."""
+    whole, shared = _spread(dealt(df, *keys), "day", value, keys, ts, during)
+    runs = whole.drop("coverage").unionByName(shared.select(*keys, F.col(ts).alias("first"), F.col(ts).alias("last"), value))
+    return runs.select(*keys, F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"), value)
+
+
+def _spread(df: DataFrame, step: str, value: str, keys, ts: str, during: tuple[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """(first to last bucket that one reading fills, buckets at readings' ends)."""
     w = in_order(keys, ts)
     parts = df.select(*keys, wall(ts).alias("_a"), wall(F.lead(ts).over(w)).alias("_b"), F.col(value).alias("_v")).where("_b is not null")
     size, one = {"hour": 3600.0, "day": 86400.0}[step], F.expr(STEPS[step])
@@ -60,24 +74,13 @@ def spread(df: DataFrame, step: str = "day", value: str = "value", keys=KEY, ts:
         end = end + F.expr(STEPS["day"])
         parts = parts.where((F.col("_b") > start) & (F.col("_a") < end))
         first, after = F.greatest(first, start), F.least(after, end)
-    whole = parts.where(first < after).select(*keys, first.alias("_from"), (after - one).alias("_to"), (rate * size).alias(value), F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0).alias("coverage"))
+    whole = parts.where(first < after).select(*keys, first.alias("first"), (after - one).alias("last"), (rate * size).alias(value), F.when(F.col("_v").isNotNull(), 1.0).otherwise(0.0).alias("coverage"))
     head = F.struct(low.alias("t"), (seconds(F.least("_fa", "_b")) - seconds("_a")).alias("held"))
     tail = F.struct(high.alias("t"), (seconds("_b") - seconds("_fb")).alias("held"))
     edges = F.array_compact(F.array(F.when(F.col("_a") < F.col("_fa"), head), F.when((F.col("_fb") < F.col("_b")) & (F.col("_fb") >= F.col("_fa")), tail)))
     shared = parts.withColumn("_e", F.explode(edges)).select(*keys, F.col("_e.t").alias(ts), (rate * F.col("_e.held")).alias("_x"), F.when(F.col("_v").isNotNull(), F.col("_e.held")).otherwise(0.0).alias("_h"))
     shared = shared.groupBy(*keys, ts).agg(F.sum("_x").alias(value), (F.sum("_h") / size).alias("coverage"))
-    shared = shared.where((F.col(ts) >= start) & (F.col(ts) < end)) if during else shared
-    if together:
-        runs = whole.unionByName(shared.select(*keys, F.col(ts).alias("_from"), F.col(ts).alias("_to"), value, "coverage"))
-        out = _each(dealt(runs, *keys).sortWithinPartitions(*keys, "_from"), one, keys, ts, value)
-    else:
-        out = _each(whole, one, keys, ts, value).unionByName(shared)
-    return out if coverage else out.drop("coverage")
-
-
-def _each(runs: DataFrame, one: Column, keys, ts: str, value: str) -> DataFrame:
-    """A row for every step of _from to _to."""
-    return runs.select(*keys, F.explode(F.sequence("_from", "_to", one)).alias(ts), value, "coverage")
+    return whole, shared.where((F.col(ts) >= start) & (F.col(ts) < end)) if during else shared
 
 
 def spread_months(df: DataFrame, value: str = "value", keys=KEY, ts: str = "ts") -> DataFrame:

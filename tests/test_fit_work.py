@@ -55,54 +55,75 @@ def test_spread_during(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
 
 
-def test_spread_together(spark):
-    """The same buckets, a meter's one after another in one partition."""
+def test_spread_runs(spark):
+    """The same days as runs of one value."""
     rows = [(m, dt.datetime(2020, 1, 1) + dt.timedelta(hours=7 * m + h), float(v)) for m in range(40) for h, v in ((5, 3), (100, 7), (1000, 2), (1003, 5), (1005, 5), (3000, 1))]
-    df = spark.createDataFrame([*rows, (None, dt.datetime(2020, 1, 1), 1.0), (None, dt.datetime(2020, 1, 4), 1.0)], "meter_id long, ts timestamp_ntz, value double")
+    rows += [(None, dt.datetime(2020, 1, 1), 1.0), (None, dt.datetime(2020, 1, 4), 1.0), (50, dt.datetime(2020, 1, 9), None), (50, dt.datetime(2020, 2, 4), 1.0)]
+    df = spark.createDataFrame(rows, "meter_id long, ts timestamp_ntz, value double")
     for during in (None, ("2020-01-20", "2020-02-20")):
-        got = resample.spread(df, coverage=True, during=during, together=True)
-        assert sorted(map(str, got.collect())) == sorted(map(str, resample.spread(df, coverage=True, during=during).collect()))
-        placed = [(r.p, r.meter_id) for r in got.select("meter_id", F.spark_partition_id().alias("p")).collect()]
-        runs = [x for i, x in enumerate(placed) if i == 0 or x != placed[i - 1]]
-        assert len(runs) == len({m for _, m in runs}) > 30
+        runs = resample.spread_runs(df, during=during)
+        got = runs.select("meter_id", F.explode(F.sequence("first", "last")).alias("ts"), "value").withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()
+        assert sorted(map(str, got)) == sorted(map(str, resample.spread(df, during=during).collect())) and len(got) > 5 * runs.count()
+
+
+START = dt.date(2019, 12, 29)
+
+
+def _weather(spark):
+    """Temperatures of 400 days, some of them odd; the last ten days are missing."""
+    odd = {7: None, 8: math.nan, 9: 400.0, 10: -200.0}
+    t = [odd.get(i, float(round(55 + 30 * math.sin(2 * math.pi * i / 365) + (i * 37 % 23 - 11) * 0.5))) for i in range(390)]
+    return t, spark.createDataFrame([(START + dt.timedelta(days=i), x) for i, x in enumerate(t)], "day date, temperature double")
+
+
+def _runs(spark):
+    """Runs of days of 24 meters of several lengths, and odd ones."""
+    rng, rows, t = np.random.default_rng(3), [], _weather(spark)[0]
 
+    def add(m, a, b, use):
+        rows.append((m, START + dt.timedelta(days=a), START + dt.timedelta(days=b), use))
 
-def _meters(spark):
-    rng, rows, start = np.random.default_rng(3), [], dt.datetime(2019, 12, 29)
     for m in range(24):
-        for i in range((400, 365, 90, 31, 19, 3, 2, 1)[m % 8]):
-            t = 55 + 30 * math.sin(2 * math.pi * i / 365) + rng.normal(0, 5)
-            use = 10 + (m % 3) * max(t - 65, 0) + (m % 2) * max(45 - t, 0) + rng.normal(0, 1)
-            rows.append((f"m{m}", start + dt.timedelta(days=i), 50.0 if m == 8 else round(t) * 1.0, use if m != 9 else 4.0))
+        at, end = 0, (400, 365, 90, 31, 19, 3, 2, 1)[m % 8]
+        while at < end:
+            to = min(at + int(rng.integers(0, 4)), end - 1)
+            here = [x for x in t[at : to + 1] if x is not None and x == x and 0 < x < 100] or [50.0]
+            add(f"m{m}", at, to, None if rng.random() < 0.03 else 4.0 if m == 9 else float(10 + (m % 3) * max(np.mean(here) - 65, 0) + (m % 2) * max(45 - np.mean(here), 0) + rng.normal(0, 1)))
+            at = to + 1
     for i in range(60):
-        odd = {7: (None, 1.0), 8: (math.nan, 2.0), 9: (40.0, None), 10: (95.0, None), 11: (5.0, None), 30: (60.0, math.nan)}.get(i, (30.0 + i % 47, 3.0 + abs(i % 47 - 20)))
-        rows += [("odd", start + dt.timedelta(days=i), *odd), (None, start + dt.timedelta(days=i), 30.0 + i, 3.0)]
-    rows += [("void", start, 40.0, None), ("void", start + dt.timedelta(days=1), None, None)]
+        add("nan", i, i, math.nan if i == 30 else 3.0 + max((t[i] or 0) - 40, 0) if i not in (8, 9, 10) else None)
+        add(None, i, i, 3.0 + i % 7)
+    add("void", 0, 1, None)
+    add("none", 5, 4, 1.0)
     rng.shuffle(rows)
-    return spark.createDataFrame([tuple(r) for r in rows], "meter_id string, ts timestamp_ntz, temperature double, observed double").repartition(3)
-
-
-@pytest.mark.parametrize("rows", [1, 500, 10**6])
-def test_fit_months(spark, monkeypatch, rows):
-    """All meters at once give what fits one by one and the join with their coefficients give, however rows fall into batches."""
-    m, days = daily.BillingModel(), _meters(spark).cache()
-    want = {(r.meter_id, str(r.month)): (r.observed, r.predicted) for r in m.predict_months(m.fit(days), days, 2).collect()}
-    sent = days.select("meter_id", F.col("ts").cast("date"), "temperature", "observed").orderBy("meter_id").toArrow()
-    monkeypatch.setattr(undivided, "ROWS", rows)
-    batches = undivided.months_of_meters(iter(sent.to_batches(max_chunksize=100)), 2, m.settings)
-    for found in ([r for b in batches for r in b.to_pylist()], [r.asDict() for r in m.fit_months(days, 2).collect()]):
-        got = {(r["meter_id"], str(r["month"])): (r["observed"], r["predicted"]) for r in found}
+    return spark.createDataFrame([tuple(x) for x in rows], "meter_id string, first date, last date, value double").repartition(3)
+
+
+@pytest.mark.parametrize("together", [1, 500, 10**6])
+def test_fit_months(spark, monkeypatch, together):
+    """All meters at once give what fits one by one and the join with their coefficients give, however runs fall into batches."""
+    m, runs, weather = daily.BillingModel(), _runs(spark).cache(), _weather(spark)[1]
+    days = runs.where("first <= last").select("meter_id", F.explode(F.sequence("first", "last")).alias("day"), F.col("value").alias("observed"))
+    days = days.join(weather, "day", "left").withColumn("ts", F.col("day").cast("timestamp_ntz")).cache()
+    want = {(x.meter_id, str(x.month)): (x.observed, x.predicted) for x in m.predict_months(m.fit(days), days, 2).collect()}
+    monkeypatch.setattr(undivided, "DAYS", together)
+    sent = runs.where("first <= last").orderBy("meter_id", F.rand(1)).toArrow()
+    known = undivided.Weather(weather.select(F.unix_date("day"), "temperature").collect())
+    batches = undivided.months_of_meters(iter(sent.to_batches(max_chunksize=100)), known, 2, m.settings)
+    for found in ([x for b in batches for x in b.to_pylist()], [x.asDict() for x in m.fit_months(runs, weather, 2).collect()]):
+        got = {(x["meter_id"], str(x["month"])): (x["observed"], x["predicted"]) for x in found}
         assert len(found) == len(got) and set(got) == set(want)
         for k, pair in want.items():
             for a, b in zip(got[k], pair):
                 assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-7, nan_ok=True)), k
-    assert want[("void", "2019-12-01")] == (None, None) and any(math.isnan(p) for _, p in want.values() if p is not None)
+    assert want["void", "2019-12-01"] == (None, None) and any(math.isnan(p) for _, p in want.values() if p is not None)
 
 
 def test_fit_months_by_other_settings(spark):
-    m = daily.BillingModel(daily.Settings(split=False))
-    days = _meters(spark).where("meter_id in ('m2', 'm3')")
-    assert m.fit_months(days).count() == m.predict_months(m.fit(days), days).count() == 6
+    m, runs = daily.BillingModel(daily.Settings(split=False)), _runs(spark).where("meter_id in ('m2', 'm3')")
+    assert m.fit_months(runs, _weather(spark)[1]).count() == 6
+    with pytest.raises(ValueError, match="more than one"):
+        undivided.Weather([(1, 2.0), (1, 3.0)])
 
 
 def test_many_fits_in_little_time():
@@ -116,8 +137,8 @@ def test_many_fits_in_little_time():
     assert [f[c][7] for c in f] == pytest.approx([getattr(one, c) for c in f], rel=1e-9)
 
 
-def test_billing_days_stay_where_they_are(spark, capsys):
-    """billing_fit makes days after its last shuffle, and neither sorts nor joins them."""
+def test_billing_days_are_not_moved(spark, capsys):
+    """billing_fit gives its fits a row or two for each bill; no row for a day is shuffled, sorted, joined or sent."""
     queries.billing_fit(spark, "/root/testdata/sf0.001").explain()
-    above = capsys.readouterr().out.split("Exchange")[0]
-    assert "MapInArrow" in above and "explode(sequence(" in above and "FlatMapGroups" not in above and "Join" not in above
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "explode(sequence(" not in plan and "FlatMapGroups" not in plan and "Join" not in plan
